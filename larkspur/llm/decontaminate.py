@@ -8,7 +8,7 @@ join compares two independent hashes.
 
 Defined cases: a null or empty text has no words, no hits and is clean; a null or empty item has no
 window; repeated items count once for each distinct item_id; repeated document rows give one result
-row each; empty tables give no hits or no rows. Extra columns are ignored.
+row each; empty tables give no hits or no rows. Columns of docs whose names hits() itself adds must be set apart first, as removed() and digest() do.
 """
 
 from __future__ import annotations
@@ -193,9 +193,11 @@ def is_contaminated(n_hit: str = "n_hit", n_words: str = "n_words") -> F.Column:
 def removed(docs: DataFrame, benchmark: DataFrame, spans: bool = False, n: int = 13) -> DataFrame:
     """docs without contaminated documents; with spans=True all documents, less the hit passages of contaminated ones."""
     columns = docs.columns
-    found = hits(docs, benchmark, n)
+    rest = [c for c in columns if c != "text"]  # kept apart, as their names may be those of the fields added
+    found = hits(docs.select("text", F.struct(*rest).alias("_rest")), benchmark, n)
+    back = [F.col("text") if c == "text" else F.col(f"_rest.{c}") for c in columns]
     if not spans:
-        return found.where(~is_contaminated()).select(*columns)
+        return found.where(~is_contaminated()).select(*back)
 
     @F.pandas_udf("string")
     def without(text, spans_, bad):  # noqa: ANN001, ANN202
@@ -209,7 +211,7 @@ def removed(docs: DataFrame, benchmark: DataFrame, spans: bool = False, n: int =
                 out.iloc[k] = b"".join([*left, raw[at:]]).decode()
         return out
 
-    return found.withColumn("text", without("text", "spans", is_contaminated())).select(*columns)
+    return found.withColumn("text", without("text", "spans", is_contaminated())).select(*back)
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
