@@ -166,3 +166,64 @@ def rows_of(off: np.ndarray, n: int) -> np.ndarray:
         return np.zeros(0, np.int64)
     shift = np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count)
     return np.arange(len(shift)) + shift
+
+
+#: classes of code points
+OTHER, LETTER, NUMBER, SPACE, MARK = range(5)
+#: fixed values: Unicode's White_Space property
+WHITE_SPACE = (0x9, 0xA, 0xB, 0xC, 0xD, 0x20, 0x85, 0xA0, 0x1680, 0x2000, 0x2001, 0x2002, 0x2003, 0x2004, 0x2005, 0x2006, 0x2007, 0x2008, 0x2009, 0x200A, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+_class_of: np.ndarray | None = None
+
+
+def class_table() -> np.ndarray:
+    """The class of every code point, from Python's own Unicode data; made once per process."""
+    global _class_of
+    if _class_of is None:
+        import unicodedata
+
+        by = {"L": LETTER, "N": NUMBER, "M": MARK}
+        _class_of = np.array([by.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)], np.uint8)
+        _class_of[list(WHITE_SPACE)] = SPACE
+    return _class_of
+
+
+def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the characters above 0x7F: position of the first byte, number of bytes, code point."""
+    at = np.flatnonzero(data >= 0xC0)
+    b = data[at].astype(np.int32)
+    n = np.where(b < 0xE0, 2, np.where(b < 0xF0, 3, 4))
+    cp = np.where(n == 2, b & 0x1F, np.where(n == 3, b & 0x0F, b & 0x07))
+    for k in (1, 2, 3):
+        more = n > k
+        cp[more] = (cp[more] << 6) | (data[at[more] + k] & 0x3F)
+    return at, n, cp
+
+
+def classes(data: np.ndarray) -> np.ndarray:
+    """The class of the character that each byte belongs to."""
+    table = class_table()
+    c = table[:256][data]  # bytes above 0x7F are set below
+    at, n, cp = code_points(data)
+    kind = table[cp]
+    for k in range(4):
+        more = n > k
+        c[at[more] + k] = kind[more]
+    return c
+
+
+def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each value of h (equal for equal values), and where each number first stands."""
+    codes = pa.array(h).dictionary_encode().indices.to_numpy()
+    first = np.zeros(int(codes.max()) + 1 if len(codes) else 0, np.int64)
+    first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+    return codes, first
+
+
+def gather(data: np.ndarray, start: np.ndarray, size: np.ndarray, pad: int = 0, fill: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """The slices data[start:start+size] one after another, each with pad bytes around it; offsets of the results."""
+    off = np.concatenate([[0], np.cumsum(size + 2 * pad)])
+    out = np.full(off[-1], fill, data.dtype)
+    total = int(size.sum())
+    inside = np.arange(total) - np.repeat(np.cumsum(size) - size, size)
+    out[np.repeat(off[:-1] + pad, size) + inside] = data[np.repeat(start, size) + inside]
+    return out, off

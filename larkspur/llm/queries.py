@@ -6,13 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conflictpack, decontaminate, exactdedup
+from . import conflictpack, decontaminate, exactdedup, langid, tokenpack, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.digest(table(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -21,12 +29,16 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op9_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenpack.packed(table(spark, sf_dir, "documents"))
+
+
 def op10_conflict_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conflictpack.packed(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_decontaminate, op8_exact_dedup, op10_conflict_packing)}
+    return {f.__name__: f for f in (op3_toxicity, op4_language_id, op6_decontaminate, op8_exact_dedup, op9_token_packing, op10_conflict_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
