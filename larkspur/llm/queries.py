@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conflictpack, decontaminate, exactdedup, langid, tokenpack, toxicity
+from . import conflictpack, decontaminate, exactdedup, langid, minhash, tokenpack, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.digest(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.digest(table(spark, sf_dir, "documents"))
 
@@ -38,7 +42,7 @@ def op10_conflict_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_toxicity, op4_language_id, op6_decontaminate, op8_exact_dedup, op9_token_packing, op10_conflict_packing)}
+    return {f.__name__: f for f in (op3_toxicity, op4_language_id, op6_decontaminate, op7_minmax_dedup, op8_exact_dedup, op9_token_packing, op10_conflict_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
