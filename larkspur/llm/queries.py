@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conflictpack, decontaminate, exactdedup, langid, minhash, tokenpack, toxicity
+from . import conflictpack, decontaminate, exactdedup, langid, licences, minhash, tokenpack, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.digest(table(spark, sf_dir, "documents"))
 
 
+def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.digest(table(spark, sf_dir, "documents"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -42,8 +46,8 @@ def op10_conflict_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_toxicity, op4_language_id, op6_decontaminate, op7_minmax_dedup, op8_exact_dedup, op9_token_packing, op10_conflict_packing)}
+    return {f.__name__: f for f in (op3_toxicity, op4_language_id, op5_licence_scan, op6_decontaminate, op7_minmax_dedup, op8_exact_dedup, op9_token_packing, op10_conflict_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": exactdedup.ORACLE}
+    return {"op5_licence_scan": licences.oracle(), "op8_exact_dedup": exactdedup.ORACLE}
