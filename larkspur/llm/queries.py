@@ -6,13 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conflictpack, decontaminate, exactdedup, langid, licences, minhash, tokenpack, toxicity
+from . import conflictpack, decontaminate, exactdedup, langid, licences, minhash, suffixdedup, suffixtree, tokenpack, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.digest(table(spark, sf_dir, "documents"))
+
+
+def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixtree.digest(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,7 +54,7 @@ def op10_conflict_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_toxicity, op4_language_id, op5_licence_scan, op6_decontaminate, op7_minmax_dedup, op8_exact_dedup, op9_token_packing, op10_conflict_packing)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_suffix_tree, op3_toxicity, op4_language_id, op5_licence_scan, op6_decontaminate, op7_minmax_dedup, op8_exact_dedup, op9_token_packing, op10_conflict_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
