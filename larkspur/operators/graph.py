@@ -12,13 +12,21 @@ MAX_ROUNDS = 60
 
 def _checkpointed(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if spark.sparkContext.getCheckpointDir() is None and named:
+        spark.sparkContext.setCheckpointDir(named)
+    elif spark.sparkContext.getCheckpointDir() is None:
         import tempfile
 
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="larkspur-ck-"))
     return df.checkpoint(eager=True)
 
 
+def _apart(df: DataFrame) -> DataFrame:
+    """df with a second key. A join on both is dealt anew, so that a hot u can be split; a grouping by u alone could not be."""
+    return df.withColumn("salt", F.hash("u"))
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", cut: Callable[[DataFrame], DataFrame] = _checkpointed) -> DataFrame:
     """(node, component) for every node of edges; component is the smallest node reachable.
 
@@ -34,9 +42,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", cut: Call
     for _ in range(MAX_ROUNDS):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = _apart(both.where("v > u")).join(_apart(low), ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = _apart(large).join(_apart(low), ["u", "salt"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         now = _mark(e)
         if now == mark:
