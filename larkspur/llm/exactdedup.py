@@ -64,7 +64,9 @@ def decide(docs: DataFrame, digest: bool = False, most_pairs: int = 2_000_000) -
         .where("group_size > 1").select("text_sha256", "group_size", F.col("first.doc_id").alias("keep_id"), F.col("first.row").alias("keep_row"))
     )
     one = F.lit(1).cast("long")
-    met = narrow.where("shared").join(groups, "text_sha256", "left").select(
+    # with a second key the join is dealt anew, apart from the grouping, so that a hot group's rows can be split
+    salt = F.hash("text_sha256")
+    met = narrow.where("shared").withColumn("salt", salt).join(groups.withColumn("salt", salt), ["text_sha256", "salt"], "left").select(
         "doc_id", F.when(F.col("keep_row").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", one).alias("group_size"), (F.col("keep_row").isNull() | (F.col("keep_row") == F.col("row"))).alias("kept"), "text_sha256",
     )
