@@ -23,7 +23,7 @@ likely; an empty table gives no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -234,6 +234,29 @@ def token_scores(tree: Tree, data: np.ndarray, off: np.ndarray) -> tuple[K.Words
     return w, total[word], total[end]
 
 
+def word_scores(tree: Tree, data: np.ndarray, off: np.ndarray, wanted: Callable[[K.Words], np.ndarray]) -> tuple[K.Words, np.ndarray, np.ndarray]:
+    """The words; those wanted; of these, what token_scores gives, without looking at the other words' symbols."""
+    depth = len(tree.contexts)
+    s, _, w = stream(data, off, depth)
+    pick = wanted(w)
+    size = w.end - w.start + 1
+    place = (np.cumsum(size) - size + w.doc() * (depth + 1) + depth)[pick]
+    size = size[pick]
+    if not len(size):
+        return w, pick, np.zeros(0)
+    first = np.cumsum(size) - size
+    at = np.arange(int(size.sum())) + np.repeat(place - first, size)
+    key = s[at].astype(np.uint64)
+    for d in range(1, depth + 1):
+        key |= s[at - d].astype(np.uint64) << np.uint64(8 * (depth + 1 - d))
+    code, one = K.distinct(key)
+    u = key[one]
+    order = np.argsort(u)
+    p = np.empty(len(u))
+    p[order] = score(tree, u[order])
+    return w, pick, np.add.reduceat(p[code], first)
+
+
 def scores(docs: DataFrame, depth: int = DEPTH, least: float = LEAST, head: int = HEAD) -> DataFrame:
     """The contract's columns for every row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id"), F.col("text"))
@@ -281,11 +304,10 @@ def scores(docs: DataFrame, depth: int = DEPTH, least: float = LEAST, head: int
             data, off = K.utf8(batch.column(1))
             row = batch.column(2).to_numpy()
             for i, j in K.blocks(off):
-                w, p, _ = token_scores(shipped.value[0], data[off[i] : off[j]], off[i : j + 1] - off[i])
-                known, _ = look(w)
-                h, of = w.hash[~known], row[i:j][w.doc()[~known]]
+                w, pick, p = word_scores(shipped.value[0], data[off[i] : off[j]], off[i : j + 1] - off[i], lambda w: ~look(w)[0])
+                h, of = w.hash[pick], row[i:j][w.doc()[pick]]
                 if len(h):
-                    yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(h.view(np.int64)), pa.array(p[~known].astype(np.float32))], ["row", "key", "p"])
+                    yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(h.view(np.int64)), pa.array(p.astype(np.float32))], ["row", "key", "p"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     # many documents share a word, few tokens a document's: counts meet by word, sums by document
