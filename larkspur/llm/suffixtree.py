@@ -1,20 +1,24 @@
 """Language-model scoring with a probabilistic suffix tree.
 
 A text is the words of its lower-cased (A-Z) text, each followed by a blank, and an end symbol; the
-tree models the bytes of that sequence. Contexts of up to `depth` symbols are candidates if they
-make up at least `least` of the training symbols, and are retained if their next-symbol counts
-diverge from those of the context that is one symbol shorter (a likelihood-ratio test); retained
-contexts keep their suffixes. A context's distribution is its counts plus `weight` times its
-suffix's distribution, down to the symbols' own frequencies, so it sums to one and nothing has
-probability zero. Each symbol is scored in the state of its longest retained suffix, which gives a
-token (word and blank, or the end) its probability by the tree; to smooth further, that is mixed
-half and half with the token's own training frequency, which leaves a distribution over texts.
-
-Counts cover every training row. Each task counts its own symbol strings and words before the
-shuffle; the tree has at most depth / least contexts of 256 symbols whatever the corpus, which
-bounds what is collected and broadcast. The baseline needs the count of every word: words that make
-up at least 1/`head` of all tokens (so at most `head` of them) are broadcast, and the rest meet their
-counts in a join by hash.
+tree models the bytes of that sequence. Contexts of up to `depth` symbols are retained if they were
+seen `least` times in training and their next-symbol counts diverge from those of the context that
+is one symbol shorter (a likelihood-ratio test); retained contexts keep their suffixes. A context's
+distribution is its counts plus `weight` times its suffix's distribution, down to the symbols' own
+frequencies, so it sums to one and nothing has probability zero. Each symbol is scored in the state
+of its longest retained suffix, which gives a token (word and blank, or the end) its probability by
+the tree; to smooth further, that is mixed half and half with the token's own training frequency,
+which leaves a distribution over texts.
+
+Counts cover every training row, and name the strings of held-out rows with a count of zero. Each
+task counts its own symbol strings and words before the shuffle. The tree stays distributed: one
+table for each depth, tested from the longest contexts to the shortest and smoothed the other way,
+until every string of `depth` + 1 symbols that occurs has its probability. Strings that make up at
+least 1/`strings` of all symbols (so at most `strings` of them) and words that make up at least
+1/`head` of all tokens are broadcast; the rest meet their probabilities and counts in joins by
+value, so which way a string goes changes the cost and not the score.
+
+grow() and score() are the same tree held whole in one process, for comparison.
 
 Defined cases: a null or empty text is the end token alone; a null doc_id is a training row; rows
 that repeat count, and are scored, each for itself; without training rows every symbol is equally
@@ -28,16 +32,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
 from .store import written
 
 DEPTH = 5
-LEAST = 2e-6
+LEAST = 2  # training occurrences of a context
 CUT = 8.0  # log-likelihood ratio from which a context is retained
 HEAD = 2_000_000
+STRINGS = 8_000_000
 MIX = 0.5  # share of the words' own frequencies in the probability of a token
 WEIGHT = 6.0
 END = 10  # the end symbol; no word holds it
@@ -97,41 +103,83 @@ def _merge(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
     return k[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def counts(docs: DataFrame, depth: int) -> DataFrame:
-    """kind 0: symbol strings, 1: word hashes, 2: the end token; key and n, summed over docs."""
+def counts(docs: DataFrame, depth: int, learn: Column | None = None) -> DataFrame:
+    """kind 0: symbol strings, 1: word hashes, 2: the end token; key and n, summed over rows to learn from (all, unless given).
+
+    m is the count over all rows: symbol strings that only other rows hold have n = 0.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {0: [], 1: []}
+        held: dict[int, list] = {0: [], 1: [], 3: []}  # 3: symbol strings of other rows
         rows = 0
 
         def out(kind: int) -> pa.RecordBatch:
             k, n = _merge(held[kind])
             held[kind] = []
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.view(np.int64)), pa.array(n)], ["kind", "key", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind % 3, np.int32)), pa.array(k.view(np.int64)), pa.array(n * (kind != 3)), pa.array(n)], ["kind", "key", "n", "m"])
 
         for batch in batches:
-            data, off = K.utf8(batch.column(0))
-            rows += len(batch)
-            for i, j in K.blocks(off):
-                s, begin, w = stream(data[off[i] : off[j]], off[i : j + 1] - off[i], depth)
-                for kind, k in ((0, keys(s, begin, depth)[0]), (1, w.hash)):
-                    k = np.sort(k)
-                    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
-                    held[kind].append((k[first], np.diff(np.concatenate([first, [len(k)]]))))
-                    if sum(len(x[0]) for x in held[kind]) > KEPT:
-                        held[kind] = [_merge(held[kind])]
-                        if len(held[kind][0][0]) > KEPT // 2:
-                            yield out(kind)
-        for kind in (0, 1):
+            learned = pc.fill_null(batch.column(1), False)
+            for part, learn in ((batch.filter(learned), True), (batch.filter(pc.invert(learned)), False)):
+                data, off = K.utf8(part.column(0))
+                rows += len(part) * learn
+                for i, j in K.blocks(off, K.BLOCK // 4):
+                    s, begin, w = stream(data[off[i] : off[j]], off[i : j + 1] - off[i], depth)
+                    for kind, k in ((0, keys(s, begin, depth)[0]), (1, w.hash)) if learn else ((3, keys(s, begin, depth)[0]),):
+                        k = np.sort(k)
+                        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+                        held[kind].append((k[first], np.diff(np.concatenate([first, [len(k)]]))))
+                        if sum(len(x[0]) for x in held[kind]) > KEPT:
+                            held[kind] = [_merge(held[kind])]
+                            if len(held[kind][0][0]) > KEPT // 2:
+                                yield out(kind)
+        for kind in held:
             if held[kind]:
                 yield out(kind)
-        yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([0], pa.int64()), pa.array([rows], pa.int64())], ["kind", "key", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([2], pa.int32()), pa.array([0], pa.int64()), pa.array([rows], pa.int64()), pa.array([rows], pa.int64())], ["kind", "key", "n", "m"])
+
+    rows = docs.select("text", (F.lit(True) if learn is None else learn).alias("learn"))
+    return rows.mapInArrow(count, "kind int, key long, n long, m long").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+
+
+def _context(key: str = "key") -> Column:
+    return F.shiftrightunsigned(key, 8)
+
+
+def _shorter(key: str = "key") -> Column:
+    """The string without the symbol that is farthest back."""
+    return F.shiftleft(F.shiftrightunsigned(key, 16), 8).bitwiseOR(F.col(key).bitwiseAND(F.lit(255)))
+
 
-    return docs.select("text").mapInArrow(count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+def probabilities(strings: DataFrame, depth: int = DEPTH, least: int = LEAST, weight: float = WEIGHT) -> DataFrame:
+    """key, m and logp: log10 probability of each symbol string (key, n, m) in its longest retained state; the tree is never gathered."""
+    levels = [strings.select("key", "n")]
+    for _ in range(depth):
+        levels.insert(0, written(levels[0].select(_shorter().alias("key"), "n").groupBy("key").agg(F.sum("n").alias("n")), f"op2-depth{depth - len(levels)}"))
+    kept: list[DataFrame] = []  # by depth, from the longest: retained contexts and how often they were seen
+    for d in range(depth, 0, -1):
+        n = F.col("n")
+        level = levels[d].withColumn("up", F.sum("n").over(Window.partitionBy(_shorter())))  # what follows the shorter context, over all that lengthen it
+        size = level.groupBy(_context().alias("c")).agg(F.sum("n").alias("size"), F.sum(F.when(n > 0, n * F.log(n / F.col("up"))).otherwise(0.0)).alias("t"))
+        size = size.withColumn("up", F.sum("size").over(Window.partitionBy(_context("c")))).where(F.col("size") >= max(1, least))
+        passes = F.col("t") - F.col("size") * F.log(F.col("size") / F.col("up")) >= CUT
+        if kept:
+            longer = kept[0].select(_context("c").alias("c"), F.lit(True).alias("longer")).distinct()
+            size = size.join(longer, "c", "left")
+            passes = passes | F.col("longer").isNotNull()
+        kept.insert(0, written(size.where(passes).select("c", "size"), f"op2-kept{d}"))
+    total = levels[0].agg(F.sum("n")).first()[0] or 0
+    p = levels[0].select("key", ((F.col("n") + 0.5) / float(total + 128)).alias("p"))
+    for d in range(1, depth + 1):
+        level = (levels[d] if d < depth else strings.select("key", "n", "m")).withColumn("short", _shorter()).withColumn("c", _context())
+        level = level.join(p.withColumnRenamed("key", "short"), "short").join(kept[d - 1], "c", "left")
+        own = F.when(F.col("size").isNull(), F.col("p")).otherwise((F.col("n") + weight * F.col("p")) / (F.col("size") + weight))
+        p = written(level.select("key", *["m"] * (d == depth), (F.log10(own) if d == depth else own).alias("logp" if d == depth else "p")), f"op2-smooth{d}")
+    return p
 
 
-def grow(strings: DataFrame, total: int, depth: int = DEPTH, least: float = LEAST, weight: float = WEIGHT) -> Tree:
-    """The tree, from the counts of symbol strings (key, n)."""
+def grow(strings: DataFrame, total: int, depth: int = DEPTH, least: float = 0.0, weight: float = WEIGHT) -> Tree:
+    """The tree, from the counts of symbol strings (key, n): contexts seen twice and in a share `least` of all symbols are candidates."""
     level = strings.select((F.col("key").bitwiseAND(F.lit(255))).alias("s"), F.shiftright("key", 8).alias("c"), "n")
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for d in range(depth, -1, -1):
@@ -257,68 +305,95 @@ def word_scores(tree: Tree, data: np.ndarray, off: np.ndarray, wanted: Callable[
     return w, pick, np.add.reduceat(p[code], first)
 
 
-def scores(docs: DataFrame, depth: int = DEPTH, least: float = LEAST, head: int = HEAD) -> DataFrame:
+def scores(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, head: int = HEAD, strings: int = STRINGS) -> DataFrame:
     """The contract's columns for every row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id"), F.col("text"))
-    train = docs.where(~held_out(F.col("doc_id")))
-    found = written(counts(train, depth), "op2-counts")
-    sums = {r["kind"]: r for r in found.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
+    found = written(counts(docs, depth, ~held_out(F.col("doc_id"))), "op2-counts")
+    sums = {r["kind"]: r for r in found.groupBy("kind").agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.count("*").alias("v")).collect()}
     get = lambda k, c: int(sums[k][c]) if k in sums else 0
     ends = get(2, "n")
     tokens, types = get(1, "n") + ends, get(1, "v") + (ends > 0)
-    tree = grow(found.where("kind = 0"), get(0, "n"), depth, least)
-    floor = max(1, -(-tokens // head))
-    often = found.where(f"kind = 1 and n >= {floor}").select("key", "n").toArrow()
-    word = often.column("key").to_numpy().view(np.uint64)
-    order = np.argsort(word)
-    shipped = docs.sparkSession.sparkContext.broadcast((tree, word[order], often.column("n").to_numpy()[order]))
-    keyed = docs.withColumn("row", F.xxhash64("doc_id", "text"))
+    tree = probabilities(found.where("kind = 0").select("key", "n", "m"), depth, least)
+    floor, bound = max(1, -(-tokens // head)), max(1, -(-get(0, "m") // strings))
+
+    def table(df: DataFrame, value: str) -> tuple[np.ndarray, np.ndarray]:
+        t = df.select("key", value).toArrow()
+        key = t.column("key").to_numpy().view(np.uint64)
+        order = np.argsort(key)
+        return key[order], t.column(value).to_numpy()[order]
+
+    shipped = docs.sparkSession.sparkContext.broadcast((table(tree.where(f"m >= {bound}"), "logp"), table(found.where(f"kind = 1 and n >= {floor}"), "n")))
     base = np.log10(ends + 1.0)
     share = MIX if tokens else 0.0
     rest = np.log10(1 - share)
 
-    def mixed(n: np.ndarray, p: np.ndarray) -> np.ndarray:
-        return np.log10(share * n / max(tokens, 1) + (1 - share) * 10.0**p)
+    def look(have: tuple[np.ndarray, np.ndarray], key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each key is in the table, and its value or 0."""
+        if not len(have[0]) or not len(key):
+            return np.zeros(len(key), bool), np.zeros(len(key), have[1].dtype)
+        at = np.minimum(np.searchsorted(have[0], key), len(have[0]) - 1)
+        known = have[0][at] == key
+        return known, np.where(known, have[1][at], 0)
 
-    def look(w: K.Words) -> tuple[np.ndarray, np.ndarray]:
-        _, words, n = shipped.value
-        if not len(words) or not len(w.hash):
-            return np.zeros(len(w.hash), bool), np.zeros(len(w.hash))
-        at = np.minimum(np.searchsorted(words, w.hash), len(words) - 1)
-        return words[at] == w.hash, n[at]
+    def lists(doc: np.ndarray, docs: int, **fields: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(docs + 1)).astype(np.int32)), pa.StructArray.from_arrays(list(fields.values()), list(fields)))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = K.utf8(batch.column(1))
-            for i, j in K.blocks(off):
-                own, part = off[i : j + 1] - off[i], data[off[i] : off[j]]
-                w, p, last = token_scores(shipped.value[0], part, own)
-                known, n = look(w)
-                doc = w.doc()
-                p = np.where(known, mixed(n, p), p + rest)
-                cols = [w.count + 1, np.bincount(doc, known, j - i).astype(np.int64) + (ends > 0), np.bincount(doc[known], np.log10(n[known] + 1.0), j - i) + base, np.bincount(doc, p, j - i) + mixed(ends, last)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), *(pa.array(c) for c in cols)], ["doc_id", "row", "n_tokens", "known", "log_c", "score"])
-
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, off = K.utf8(batch.column(1))
-            row = batch.column(2).to_numpy()
-            for i, j in K.blocks(off):
-                w, pick, p = word_scores(shipped.value[0], data[off[i] : off[j]], off[i : j + 1] - off[i], lambda w: ~look(w)[0])
-                h, of = w.hash[pick], row[i:j][w.doc()[pick]]
-                if len(h):
-                    yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(h.view(np.int64)), pa.array(p.astype(np.float32))], ["row", "key", "p"])
+            for i, j in K.blocks(off, K.BLOCK // 4):
+                have, words = shipped.value
+                s, begin, w = stream(data[off[i] : off[j]], off[i : j + 1] - off[i], depth)
+                key, _ = keys(s, begin, depth)
+                code, first = K.distinct(key)
+                order = np.argsort(key[first])
+                met, logp = np.zeros(len(first), bool), np.zeros(len(first))
+                met[order], logp[order] = look(have, key[first][order])
+                # tokens are words, and the end after each document's
+                end = w.off[1:] + np.arange(j - i)
+                word = np.arange(len(w.hash)) + w.doc()
+                size = np.ones(len(word) + len(end), np.int64)
+                size[word] += w.end - w.start
+                start = np.cumsum(size) - size
+                doc = np.repeat(np.arange(j - i), w.count + 1)
+                p = np.add.reduceat(logp[code], start)
+                lost = np.flatnonzero(~met[code])
+                of = np.searchsorted(start, lost, "right") - 1
+                known, n = np.ones(len(size), bool), np.full(len(size), ends, np.int64)
+                known[word], n[word] = look(words, w.hash)
+                hashes = np.zeros(len(size), np.uint64)
+                hashes[word] = w.hash
+                open_ = ~known
+                open_[of] = True
+                some = n > 0
+                done = p + rest
+                done[some] = np.log10(share * n[some] / max(tokens, 1) + (1 - share) * 10.0 ** p[some])
+                is_word = np.zeros(len(size), bool)
+                is_word[word] = True
+                old = is_word & known
+                cols = [w.count + 1, np.bincount(doc, old, j - i).astype(np.int64) + (ends > 0), np.bincount(doc[old], np.log10(n[old] + 1.0), j - i) + base, np.bincount(doc, np.where(open_, 0.0, done), j - i)]
+                place = np.arange(len(size)) - (w.off[:-1] + np.arange(j - i))[doc]
+                o = np.flatnonzero(open_)
+                waiting = lists(doc[o], j - i, tok=pa.array(place[o]), key=pa.array(hashes[o].view(np.int64)), n=pa.array(np.where(known, n, -1)[o]), p=pa.array(p[o]))
+                missing = lists(doc[of], j - i, tok=pa.array(place[of]), key=pa.array(key[lost].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(pa.array(c) for c in cols), waiting, missing], ["doc_id", "n_tokens", "known", "log_c", "score", "waiting", "missing"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    # many documents share a word, few tokens a document's: counts meet by word, sums by document
-    every = written(keyed.mapInArrow(whole, f"doc_id {kind}, row long, n_tokens long, known long, log_c double, score double"), "op2-scored")
-    few = found.where(f"kind = 1 and n < {floor}").select("key", "n")
-    alone = F.col("p").cast("double")
-    gain = F.log10(share * F.col("n") / max(tokens, 1) + (1 - share) * F.pow(F.lit(10.0), alone)) - alone - float(rest)
-    more = keyed.mapInArrow(rare, "row long, key long, p float").join(few, "key").groupBy("row").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1.0)).alias("more_log"), F.sum(gain).alias("gain"))
-    same = every.groupBy("row").agg(F.count("*").alias("same"))
-    more = more.join(same, "row").select("row", (F.col("more") / F.col("same")).cast("long").alias("more"), (F.col("more_log") / F.col("same")).alias("more_log"), (F.col("gain") / F.col("same")).alias("gain"))
-    joined = every.join(more, "row", "left")
+    every = docs.mapInArrow(whole, f"doc_id {kind}, n_tokens long, known long, log_c double, score double, waiting array<struct<tok:long,key:long,n:long,p:double>>, missing array<struct<tok:long,key:long>>")
+    every = written(every.withColumn("row", F.monotonically_increasing_id()), "op2-scored")
+    # tokens that the broadcast did not settle: a row for the token, and one for each symbol that waits for its probability
+    waiting = every.select("row", F.inline("waiting"))
+    few = found.where(f"kind = 1 and n < {floor} and n > 0").select("key", F.col("n").alias("c"))
+    no = F.lit(0).cast("long")
+    parts = (
+        waiting.where("n >= 0").select("row", "tok", "p", "n", no.alias("late"))
+        .unionByName(waiting.where("n < 0").join(few, "key", "left").select("row", "tok", "p", F.coalesce("c", no).alias("n"), F.coalesce("c", no).alias("late")))
+        .unionByName(every.select("row", F.inline("missing")).join(tree.where(f"m < {bound}").select("key", "logp"), "key").select("row", "tok", F.col("logp").alias("p"), no.alias("n"), no.alias("late")))
+        .groupBy("row", "tok").agg(*(F.sum(c).alias(c) for c in ("p", "n", "late")))
+    )
+    gain = F.when(F.col("n") > 0, F.log10(share * F.col("n") / max(tokens, 1) + (1 - share) * F.pow(F.lit(10.0), F.col("p")))).otherwise(F.col("p") + float(rest))
+    more = parts.groupBy("row").agg(F.sum((F.col("late") > 0).cast("long")).alias("more"), F.sum(F.log10(F.col("late") + 1.0)).alias("more_log"), F.sum(gain).alias("gain"))
+    joined = every.drop("waiting", "missing").join(more, "row", "left")
     return joined.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("log_c") + F.coalesce("more_log", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(tokens + types + 1))).alias("base_score"), (F.col("score") + F.coalesce("gain", F.lit(0.0))).alias("score"),

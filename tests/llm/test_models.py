@@ -154,6 +154,23 @@ def test_suffix_tree_distributions_sum_to_one(spark):
         assert (10 ** suffixtree.score(tree, key)).sum() == pytest.approx(1, abs=1e-4)
 
 
+def test_suffix_tree_keeps_rare_contexts_whichever_way_they_are_met(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    train = d.where(~suffixtree.held_out(F.col("doc_id")))
+    found = suffixtree.counts(train, suffixtree.DEPTH)
+    tree = suffixtree.grow(found.where("kind = 0"), 1, suffixtree.DEPTH, 0)  # every context that was seen twice
+    n = {r.key: r.n for r in found.where("kind = 1").collect()}
+    rows = d.orderBy("doc_id").collect()
+    total = sum(n.values()) + train.count()
+    w, p, last = suffixtree.token_scores(tree, *buffers([r.text or "" for r in rows]))
+    own = np.array([n.get(h, 0) for h in w.hash.view(np.int64).tolist()])
+    mixed = np.where(own > 0, np.log10(0.5 * own / total + 0.5 * 10.0**p), p + np.log10(0.5))
+    want = np.bincount(w.doc(), mixed, len(rows)) + np.log10(0.5 * train.count() / total + 0.5 * 10.0**last)
+    for kwargs in ({}, {"strings": 2000, "head": 500}):
+        got = {r.doc_id: r.score for r in suffixtree.scores(d, **kwargs).collect()}
+        assert [got[r.doc_id] for r in rows] == pytest.approx(want.tolist(), rel=1e-6)
+
+
 def test_toxicity_held_out(spark):
     d, l = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     got = toxicity.digest(d, l).where("held_out").join(l, "doc_id").groupBy("toxic").agg(F.avg("predicted").alias("p")).collect()
