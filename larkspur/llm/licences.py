@@ -1,7 +1,8 @@
 """Licence scans: TF-IDF cosine of notices to templates, then inheritance from the nearest directory.
 
-Only DataFrame functions. Lines that hold a cue word are candidate headers, and a short text with a
-cue is a candidate licence file as a whole. Each becomes a sparse TF-IDF vector (weights from the
+Only DataFrame functions. In a text of any length that holds a cue, candidates are the whole text, each
+line with a cue, and each run of words around a cue word that is as long as some template; runs go
+over line ends and comment signs, so wrapped headers and notices inside paragraphs are found. Each becomes a sparse TF-IDF vector (weights from the
 templates, a fixed list) and is compared with every template's; the best at or above `least` is the
 file's own licence. A directory's licence is that of its best-matching file, then of the first by
 path. A file without a licence of its own takes that of the nearest ancestor directory that has
@@ -18,6 +19,8 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,7 +45,8 @@ TEMPLATES = (
 CUE = r"(?i)licen[cs]e|copyright|permission is hereby|redistribution and use"
 WORD = r"[a-z0-9]+(?:[.\-][a-z0-9]+)*"
 LEAST = 0.6
-SHORT = 2000
+SHORT = 2000  # of the SQL below only
+CUE_TERM = r"licen[cs]e|copyright|^permission$|^redistribution$"
 
 
 def _terms(text: Column) -> Column:
@@ -60,16 +64,29 @@ def templates(spark: SparkSession) -> DataFrame:
     return w.join(F.broadcast(norm), "template").select("template", "licence", "term", "idf", (F.col("w") / F.col("norm")).alias("weight"))
 
 
+def runs(held: DataFrame) -> DataFrame:
+    """path and terms of every run of words that holds a cue word and has the length of some template."""
+    sizes = sorted({len(re.findall(WORD, notice.lower())) for _, notice in TEMPLATES})
+    far = sizes[-1] - 1
+    words = held.select("path", _terms(F.col("text")).alias("terms"))
+    at = F.filter(F.transform("terms", lambda x, i: F.when(x.rlike(CUE_TERM), i)), lambda i: i.isNotNull())
+    # the words around each cue, equal surroundings of a text once, and where the cue is in them
+    near = F.transform(at, lambda i: F.struct(F.slice("terms", F.greatest(i - far, F.lit(0)) + 1, F.least(i, F.lit(far)) + 1 + far).alias("near"), F.least(i, F.lit(far)).alias("cue")))
+    near = words.select("path", F.inline(F.array_distinct(near)))
+    cut = lambda size: F.transform(F.sequence(F.greatest(F.col("cue") - size + 1, F.lit(0)), F.col("cue")), lambda k: F.slice("near", k + 1, F.lit(size)))
+    return near.select("path", F.explode(F.array_distinct(F.concat(*map(cut, sizes)))).alias("terms"))
+
+
 def own(files: DataFrame, least: float = LEAST) -> DataFrame:
     """path, licence and cosine of the files that have a licence of their own; one row for each path."""
     known = templates(files.sparkSession)
     rare = F.log(F.lit(float(1 + len(TEMPLATES)))) + 1  # a term that no template has
     held = files.where(F.col("text").rlike(CUE))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(CUE))
-    parts = F.when(F.length("text") <= SHORT, F.array_union(lines, F.array("text"))).otherwise(lines)
+    headers = held.select("path", F.explode(F.array_union(lines, F.array("text"))).alias("header")).select("path", _terms(F.col("header")).alias("terms")).unionByName(runs(held))
     tf = (
-        held.select("path", F.posexplode(F.array_distinct(parts)).alias("part", "header"))
-        .select("path", "part", F.explode(_terms(F.col("header"))).alias("term")).groupBy("path", "part", "term").agg(F.count("*").alias("tf"))
+        headers.withColumn("part", F.monotonically_increasing_id())
+        .select("path", "part", F.explode("terms").alias("term")).groupBy("path", "part", "term").agg(F.count("*").alias("tf"))
     )
     idf = known.select("term", "idf").distinct()
     w = tf.join(F.broadcast(idf), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", rare)).drop("idf")

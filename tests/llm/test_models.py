@@ -192,6 +192,15 @@ def test_licences(spark):
     assert licences.digest(odd(spark)).count() == 10 and licences.digest(empty(spark)).count() == 0
 
 
+def test_licences_in_long_and_wrapped_texts(spark):
+    code = "x = 1\n" * 1000
+    mpl = "# This Source Code Form is subject to the terms of the Mozilla\n# Public License, v. 2.0. If a copy of the MPL was not distributed with\n# this file, You can obtain one at https://mozilla.org/MPL/2.0/.\n"
+    files = [("a/x.py", mpl + code), ("b/y.txt", "some words of a story " * 40 + "licensed under the Apache License, Version 2.0 " + "and more of that story " * 400), ("c/z.py", code), ("d/w.py", " * Permission is hereby granted, free of\n * charge, to any person obtaining a copy\n * of this software\n" + code), ("a/b/v.py", code)]
+    got = {r.path: (r.licence, r.origin, r.licence_dir) for r in licences.scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert got["a/x.py"] == ("MPL-2.0", "own", "a") and got["a/b/v.py"] == ("MPL-2.0", "inherited", "a")
+    assert got["b/y.txt"][0] == "Apache-2.0" and got["d/w.py"][0] == "MIT" and got["c/z.py"] == (None, "none", None)
+
+
 def test_suffix_tree_scores_some_words_as_all():
     rng = np.random.default_rng(7)
     texts = ["", "one two  three " * 3, "x", " ".join("".join(rng.choice(list("abc"), rng.integers(1, 6))) for _ in range(200)), "Ünï 漢字"]
