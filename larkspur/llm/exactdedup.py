@@ -78,8 +78,8 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """The kept rows of docs, with docs' columns; one row where rows repeat entirely."""
     decided = decide(docs)
     gone = decided.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    stay = decided.where("kept and group_size > 1").select(F.col("doc_id").alias("_stay")).distinct()
-    # an id that is both kept and dropped belongs to repeated ids; those rows are settled among themselves
+    stay = decided.where("kept").select(F.col("doc_id").alias("_stay"))
+    # an id that is both kept and dropped is on several rows; those are settled by id and text
     both = written(gone.join(stay, gone._gone.eqNullSafe(stay._stay), "left_semi"), "op8-both")
     left = docs.join(gone, docs.doc_id.eqNullSafe(gone._gone), "left_anti")
     if both.isEmpty():
@@ -87,6 +87,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     twice = docs.join(both, docs.doc_id.eqNullSafe(both._gone), "left_semi").withColumn("_sha", F.sha2(normalised(), 256)).withColumn("_points", F.length(F.coalesce("text", F.lit(""))))
     order = F.struct(-F.col("_points"), F.struct(*docs.columns))
     again = twice.groupBy("doc_id", "_sha").agg(F.min(order).alias("_first"))
+    # of an id's rows with one text, none stays if the group's kept row has another id
+    copies = decided.where("group_size > 1").groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_text")).agg(F.max("kept").alias("_kept")).where("not _kept")
+    again = again.join(copies, again.doc_id.eqNullSafe(copies._id) & (again._sha == copies._text), "left_anti")
     return left.unionByName(again.select([F.col(f"_first.col2.{c}").alias(c) for c in docs.columns]))
 
 

@@ -41,6 +41,16 @@ def test_exact_dedup_odd_rows(spark):
     assert rows(exactdedup.deduplicated(empty(spark))) == []
 
 
+def test_exact_dedup_settles_rows_of_repeated_ids(spark):
+    texts = ["three", "th ree", "only here", "t h ree", "here too", "seven", "s even", "eight", "eig ht", "eight and more", "eight"]
+    ids = [3, None, None, None, None, 7, 8, 8, 9, 9, 10]
+    df = docs(spark, texts, ids)
+    got = sorted(((r.doc_id, r.text) for r in exactdedup.deduplicated(df).collect()), key=str)
+    want = brute_dedup(list(zip(ids, texts)))
+    assert sorted(str(d) for d, _ in got) == sorted(str(w[0]) for w in want if w[3])
+    assert got == sorted([(None, "t h ree"), (None, "only here"), (None, "here too"), (8, "s even"), (9, "eig ht"), (9, "eight and more")], key=str)
+
+
 def brute_best_fit(pieces, capacity):
     bins = []
     for k in sorted(range(len(pieces)), key=lambda k: -pieces[k][0]):
