@@ -16,6 +16,8 @@ def _checkpointed(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None and named:
         spark.sparkContext.setCheckpointDir(named)
     elif spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="larkspur-ck-"))
@@ -27,19 +29,20 @@ def _apart(df: DataFrame) -> DataFrame:
     return df.withColumn("salt", F.hash("u"))
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", cut: Callable[[DataFrame], DataFrame] = _checkpointed) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", cut: Callable[[DataFrame], DataFrame] = _checkpointed, rounds: int = MAX_ROUNDS) -> DataFrame:
     """(node, component) for every node of edges; component is the smallest node reachable.
 
     Alternating large-star and small-star steps: every step is a grouped minimum (with partial
     minima before the shuffle) and a join, so a node with very many neighbours is split like any
     skewed key. `cut` ends the lineage of each round's edges. Nulls and loops are left out; types
-    are kept, so ids may be numbers or strings.
+    are kept, so ids may be numbers or strings. Rounds grow with the logarithm of the longest chain;
+    if `rounds` don't settle the components, that is an error, never an unfinished result.
     """
     start = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
     loops = start.select(F.col("u").alias("node")).union(start.select("v")).distinct()
     e = cut(start.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = _mark(e)
-    for _ in range(MAX_ROUNDS):
+    for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = _apart(both.where("v > u")).join(_apart(low), ["u", "salt"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -50,6 +53,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", cut: Call
         if now == mark:
             break
         mark = now
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     found = e.groupBy("u").agg(F.min("v").alias("component"))
     return loops.join(found, loops.node == found.u, "left").select("node", F.coalesce("component", "node").alias("component"))
 
