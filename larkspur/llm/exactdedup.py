@@ -74,23 +74,33 @@ def decide(docs: DataFrame, digest: bool = False, most_pairs: int = 2_000_000) -
     return met.unionByName(alone)
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """The kept rows of docs, with docs' columns; one row where rows repeat entirely."""
-    decided = decide(docs)
-    gone = decided.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    stay = decided.where("kept").select(F.col("doc_id").alias("_stay"))
-    # an id that is both kept and dropped is on several rows; those are settled by id and text
-    both = written(gone.join(stay, gone._gone.eqNullSafe(stay._stay), "left_semi"), "op8-both")
-    left = docs.join(gone, docs.doc_id.eqNullSafe(gone._gone), "left_anti")
-    if both.isEmpty():
-        return left
-    twice = docs.join(both, docs.doc_id.eqNullSafe(both._gone), "left_semi").withColumn("_sha", F.sha2(normalised(), 256)).withColumn("_points", F.length(F.coalesce("text", F.lit(""))))
-    order = F.struct(-F.col("_points"), F.struct(*docs.columns))
-    again = twice.groupBy("doc_id", "_sha").agg(F.min(order).alias("_first"))
-    # of an id's rows with one text, none stays if the group's kept row has another id
-    copies = decided.where("group_size > 1").groupBy(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_text")).agg(F.max("kept").alias("_kept")).where("not _kept")
-    again = again.join(copies, again.doc_id.eqNullSafe(copies._id) & (again._sha == copies._text), "left_anti")
-    return left.unionByName(again.select([F.col(f"_first.col2.{c}").alias(c) for c in docs.columns]))
+def deduplicated(docs: DataFrame, most_pairs: int = 2_000_000) -> DataFrame:
+    """The kept rows of docs, with docs' columns; one row where rows repeat entirely.
+
+    Every row is settled by its own text, size, id and a hash of all its columns, never by its id
+    alone, so rows that share an id or have none are told apart. Rows that length and prefix set
+    apart pass straight through; only the rest meets the groups, dealt by text so that a large
+    group's rows can be split.
+    """
+    columns = docs.columns
+    whole = docs.select(F.struct(*columns).alias("_row"), "doc_id", F.coalesce("text", F.lit("")).alias("_text"), normalised().alias("_norm"))
+    whole = whole.withColumn("len", F.octet_length("_norm")).withColumn("prefix", F.xxhash64(F.substring("_norm", 1, PREFIX)))
+    shared = written(survivors(docs), "op8-shared")
+    if shared.count() <= most_pairs:
+        some, alone = whole.join(F.broadcast(shared), ["len", "prefix"], "left_semi"), whole.join(F.broadcast(shared), ["len", "prefix"], "left_anti").select("_row.*")
+    else:
+        some, alone = whole, None
+    order = F.struct((-F.length("_text")).alias("points"), F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("_row").alias("hash"))
+    some = some.select("_row", F.sha2("_norm", 256).alias("_sha"), order.alias("_order"))
+    keys = some.groupBy("_sha", "_order").agg(F.count("*").alias("times"))
+    groups = written(keys.groupBy("_sha").agg(F.sum("times").alias("size"), F.min("_order").alias("first"), F.min_by("times", "_order").alias("times")).where("size > 1"), "op8-groups")
+    salt = F.hash("_sha")
+    met = some.withColumn("salt", salt).join(groups.withColumn("salt", salt), ["_sha", "salt"], "left")
+    stay = met.where(F.col("first").isNull() | ((F.col("_order") == F.col("first")) & (F.col("times") == 1))).select("_row.*")
+    # the kept row itself is there several times: any of the equal rows
+    again = met.where((F.col("times") > 1) & (F.col("_order") == F.col("first"))).groupBy("_sha").agg(F.first("_row").alias("_row")).select("_row.*")
+    kept = stay.unionByName(again)
+    return kept if alone is None else alone.unionByName(kept)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -51,6 +51,14 @@ def test_exact_dedup_settles_rows_of_repeated_ids(spark):
     assert got == sorted([(None, "t h ree"), (None, "only here"), (None, "here too"), (8, "s even"), (9, "eig ht"), (9, "eight and more")], key=str)
 
 
+def test_exact_dedup_keeps_every_distinct_text_once(spark):
+    for texts, ids in ((["x", "unique text", "x "], [1, 1, 2]), (["x", "z", "z", "x "], [1, 1, 1, 2]), (["x", "one", "x", "two", "two"], [3, None, None, None, None])):
+        df = docs(spark, texts, ids)
+        for most in (2_000_000, 0):
+            left = [re.sub(r"\s", "", r.text) for r in exactdedup.deduplicated(df, most).collect()]
+            assert sorted(left) == sorted({re.sub(r"\s", "", t) for t in texts})
+
+
 def brute_best_fit(pieces, capacity):
     bins = []
     for k in sorted(range(len(pieces)), key=lambda k: -pieces[k][0]):
