@@ -5,9 +5,9 @@ trigrams of the word (with its ends marked) score the candidates; a Viterbi pass
 a penalty for switching labels spans. A text's language is the one that most of its letters are
 labelled with, and its score the share of letters so labelled.
 
-Fitted on rows with a language, a sample of at most about `fit_rows` of them by a hash of the id;
-counts are summed in the cluster, and the model is one number per language and bucket, so its size
-does not depend on the data. Labels cover every word of every whole text.
+Fitted on rows with a language, about `fit_rows` at most of each language, by a hash of the row; a
+language with fewer rows is learned from all of them. Counts are summed in the cluster, and the
+model is one number per language and bucket, so its size does not depend on the data. Labels cover every word of every whole text.
 
 Defined cases: a null text or one without letters is `und` with score 0; without any learned
 language every text is `und`; letters of a script that no language was seen to use weigh against
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import kernel as K
 
 BUCKETS = 1 << 16
-FIT_ROWS = 30_000
+FIT_ROWS = 8_000  # of each language
 PENALTY = 8.0
 UNKNOWN = "und"
 #: fixed values: first code points of script ranges, and the script that begins there
@@ -86,8 +86,10 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, learn: Column | None = None)
     """Learn from rows with a language for which `learn` holds (all but the held-out third, unless given)."""
     learn = ~held_out(F.col("doc_id")) if learn is None else learn
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & learn)
-    share = min(1.0, fit_rows / max(1, rows.count()))
-    sample = rows.where(F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1_000_000)) < int(share * 1_000_000)).select("lang", "text")
+    have = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    # of each language as many rows as fit_rows allows, by a 62-bit hash, so that none gets lost at any size
+    bounds = F.create_map(*[F.lit(x) for lang, n in have.items() for x in (lang, min(1 << 62, (fit_rows << 62) // n))]) if have else F.create_map(F.lit(""), F.lit(0))
+    sample = rows.where(F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2) < F.element_at(bounds, F.col("lang"))).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -195,8 +197,9 @@ def _paths(s: np.ndarray, begin: np.ndarray, size: np.ndarray, penalty: float, l
 
 
 def predict(docs: DataFrame, model: Model, penalty: float = PENALTY, spans: bool = False) -> DataFrame:
-    """docs' rows with lang_pred and score, and with spans: array<struct<start,end,lang>> over the text's bytes."""
+    """docs' rows with lang_pred and score, and with spans: array<struct<start,end,lang>> over the text's bytes. These replace columns of their names."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.drop("lang_pred", "score", *["spans"] * spans)
     names = docs.columns
     span = "array<struct<start:long,end:long,lang:string>>"
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", lang_pred string, score double" + f", spans {span}" * spans
