@@ -7,7 +7,7 @@ shuffle join instead. Every hash hit on the broadcast path is verified on the wo
 join compares two independent hashes.
 
 Defined cases: a null or empty text has no words, no hits and is clean; a null or empty item has no
-window; repeated items count once for each distinct item_id; repeated document rows give one result
+window; an item with a null item_id hits like any other but is not among the items; repeated items count once for each distinct item_id; repeated document rows give one result
 row each; empty tables give no hits or no rows. Columns of docs whose names hits() itself adds must be set apart first, as removed() and digest() do.
 """
 
@@ -25,13 +25,14 @@ from . import kernel as K
 
 FIELDS = "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
 BITS = 22
+MOST_WORDS = 200_000  # about 150 MB in each Python worker
 
 
 class Windows:
     """The benchmark's windows: sorted hashes for lookup, texts and item numbers for verification."""
 
     def __init__(self, items: list[tuple[str, str | None]], n: int):
-        self.items: list[str] = sorted({str(i) for i, _ in items})
+        self.items: list[str] = sorted({str(i) for i, _ in items if i is not None})
         number = {x: k for k, x in enumerate(self.items)}
         by: dict[int, dict[int, dict[bytes, set[int]]]] = {}
         for item, text in items:
@@ -42,8 +43,9 @@ class Windows:
             size = min(n, len(w.hash))
             raw = data.tobytes()
             words = [raw[s:e] for s, e in zip(w.start.tolist(), w.end.tolist(), strict=True)]
+            own = {number[str(item)]} if item is not None else set()  # an item without an id hits but is not named
             for k, h in enumerate(K.windows(w.hash, size).tolist()):
-                by.setdefault(size, {}).setdefault(h, {}).setdefault(b" ".join(words[k : k + size]), set()).add(number[str(item)])
+                by.setdefault(size, {}).setdefault(h, {}).setdefault(b" ".join(words[k : k + size]), set()).update(own)
         self.by = {size: (np.array(sorted(d), np.uint64), d) for size, d in by.items()}
         self.bloom = {}
         for size, (hashes, _) in self.by.items():
@@ -73,7 +75,7 @@ def scan(data: np.ndarray, off: np.ndarray, found: Windows) -> tuple[np.ndarray,
         for p, x, d in zip(at.tolist(), h.tolist(), doc.tolist(), strict=True):
             key = b" ".join([raw[s:e] for s, e in zip(w.start[p : p + size].tolist(), w.end[p : p + size].tolist(), strict=True)])
             owners = texts[x].get(key)
-            if owners:
+            if owners is not None:
                 items[d] |= owners
                 cover[p] += 1
                 cover[p + size] -= 1
@@ -90,9 +92,9 @@ def _spans(hit: np.ndarray, w: K.Words, off: np.ndarray, d: int) -> list[dict]:
     return [{"start": int(w.start[a] - off[d]), "end": int(w.end[b] - off[d])} for a, b in zip(first, last, strict=True)]
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, n: int = 13, most_words: int = 4_000_000) -> DataFrame:
+def hits(docs: DataFrame, benchmark: DataFrame, n: int = 13, most_words: int = MOST_WORDS) -> DataFrame:
     """docs' rows with n_words, n_hit, items (string item_ids, sorted) and spans (byte ranges hit)."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     size = items.agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).first()
     if (size.b or 0) // 2 + size.n <= most_words:  # a word and what parts it from the next are two bytes at least
         return _broadcast(docs, items, n)
@@ -112,7 +114,7 @@ def _broadcast(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
                 own = off[i : j + 1] - off[i]
                 words, hit_words, owners, hit, w = scan(data[off[i] : off[j]], own, found)
                 lists = [sorted(found.items[k] for k in x) for x in owners]
-                spans = [_spans(hit, w, own, d) if owners[d] else [] for d in range(j - i)]
+                spans = [_spans(hit, w, own, d) if n_hit else [] for d, n_hit in enumerate(hit_words.tolist())]
                 extra = [pa.array(words, pa.int64()), pa.array(hit_words, pa.int64()), pa.array(lists, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*part.columns, *extra], [*names, "n_words", "n_hit", "items", "spans"])

@@ -42,7 +42,8 @@ def test_spans_cut_the_hit_passages(spark):
 def test_odd_rows(spark):
     b = bench(spark, [(1, "same text here"), (None, "word"), (2, "漢字")])
     got = {(r.doc_id, r.n_words, r.n_hit) for r in D.digest(odd(spark), b).collect()}
-    assert (1, 3, 3) in got and (3, 0, 0) in got and (5, 30000, 0) in got and (8, 5, 1) in got
+    assert (1, 3, 3) in got and (3, 0, 0) in got and (5, 30000, 30000) in got and (8, 5, 1) in got
+    assert {r.n_items for r in D.digest(odd(spark), b).where("doc_id = 5").collect()} == {0}  # hit by the item without an id
     assert D.digest(odd(spark), bench(spark, [])).where("contaminated").count() == 0
     assert D.digest(empty(spark), b).count() == 0
     assert D.removed(odd(spark), b).columns == odd(spark).columns
