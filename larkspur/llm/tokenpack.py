@@ -9,7 +9,7 @@ still has room for them, which a segment tree over residual capacities finds in
 Each task packs as it reads, in groups of about `group_tokens` tokens, so nothing is shuffled and
 memory is bounded whatever the partition. A row holds `capacity` ids, padded with the end-of-text
 id; `cu_seqlens` are its cumulative segment lengths (the last one is where padding starts), and
-positions restart at each of them. Parts of one document carry their number; unpack() restores the
+`resets` the places where positions return to 0: each segment's first, and the padding's if any. Parts of one document carry their number; unpack() restores the
 documents from any order of rows.
 
 Defined cases: a null or empty text is the end-of-text id alone; a null doc_id is listed as null;
@@ -34,7 +34,7 @@ GROUP_TOKENS = 4_000_000
 CACHE = 1_000_000  # distinct pieces that a task remembers before it starts anew
 #: fixed values: the contractions that the piece pattern names
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
-SCHEMA = "doc_ids array<long>, parts array<int>, cu_seqlens array<int>, ids binary"
+SCHEMA = "doc_ids array<long>, parts array<int>, cu_seqlens array<int>, resets array<int>, ids binary"
 
 
 def ranks(path: str = VOCABULARY) -> dict[bytes, int]:
@@ -48,10 +48,16 @@ class Encoder:
     def __init__(self, vocabulary: dict[bytes, int]):
         import tiktoken
 
-        self.bpe = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=vocabulary, special_tokens={})._core_bpe
+        self.vocabulary = vocabulary
+        self.bpe = tiktoken.Encoding("pieces", pat_str=r"[\s\S]+", mergeable_ranks=vocabulary, special_tokens={})
         self.end = max(vocabulary.values()) + 1
         self.dtype = np.uint16 if self.end < 1 << 16 else np.uint32
-        self.known: dict[int, list[int]] = {}
+        self.known: dict[bytes, list[int]] = {}
+
+    def piece(self, raw: bytes) -> list[int]:
+        """The ids of one piece: its own, if it is in the vocabulary, else by merges over its characters."""
+        whole = self.vocabulary.get(raw)
+        return [whole] if whole is not None else self.bpe.encode_ordinary(raw.decode())
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents one after another, each with its end; offsets."""
@@ -60,16 +66,16 @@ class Encoder:
         docs = len(off) - 1
         if not len(start):
             return np.full(docs, self.end, self.dtype), np.arange(docs + 1)
-        h = _hashes(data, start, size)
-        code, first = K.distinct(h)
+        code, first = same_pieces(data, start, size)
         if len(self.known) > CACHE:
             self.known.clear()
-        raw, known, encode = data.tobytes(), self.known, self.bpe.encode_single_piece
+        raw, known = data.tobytes(), self.known
         lists = []
-        for x, a, n in zip(h[first].tolist(), start[first].tolist(), size[first].tolist(), strict=True):
-            ids = known.get(x)
+        for a, n in zip(start[first].tolist(), size[first].tolist(), strict=True):
+            piece = raw[a : a + n]
+            ids = known.get(piece)
             if ids is None:
-                ids = known[x] = encode(raw[a : a + n])
+                ids = known[piece] = self.piece(piece)
             lists.append(ids)
         many = np.fromiter(map(len, lists), np.int64, len(lists))
         flat = np.fromiter((i for x in lists for i in x), self.dtype, int(many.sum()))
@@ -85,11 +91,22 @@ class Encoder:
         return out, doc_off
 
 
-def _hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+def same_pieces(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each piece, equal for equal bytes, and where each number first stands; hashes propose, bytes decide."""
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(K.BYTE_CODE[data] * K.powers(K.BASE, len(data)), out=total[1:])
     h = (total[start + size] - total[start]) * K.powers(K.BASE_INV, len(data) + 1)[start]
-    return K.mix(h + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    code, first = K.distinct(K.mix(h + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+    like = first[code]
+    same = size == size[like]
+    at = np.arange(int(size.sum())) - np.repeat(start, size)  # the pieces cover the data in order
+    there = np.repeat(np.where(same, start[like], start), size) + at
+    if not (same.all() and (data[there] == data).all()):  # two pieces with one hash: number them by their bytes
+        raw = data.tobytes()
+        names: dict[bytes, int] = {}
+        code = np.array([names.setdefault(raw[a : a + n], len(names)) for a, n in zip(start.tolist(), size.tolist(), strict=True)])
+        first = np.unique(code, return_index=True)[1]
+    return code, first
 
 
 def piece_starts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -221,7 +238,7 @@ def packed(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACI
 def _rows(held: list, capacity: int, encoder: Encoder) -> pa.RecordBatch:
     rows = best_fit_decreasing([len(x[2]) for x in held], capacity)
     matrix = np.full((len(rows), capacity), encoder.end, np.dtype(encoder.dtype).newbyteorder("<"))
-    doc_ids, parts, cumulative = [], [], []
+    doc_ids, parts, cumulative, resets = [], [], [], []
     for r, members in enumerate(rows):
         at = 0
         bounds = [0]
@@ -233,8 +250,9 @@ def _rows(held: list, capacity: int, encoder: Encoder) -> pa.RecordBatch:
         doc_ids.append([held[k][0] for k in members])
         parts.append([held[k][1] for k in members])
         cumulative.append(bounds)
+        resets.append(bounds if at < capacity else bounds[:-1])
     ints = pa.list_(pa.int32())
-    return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.list_(pa.int64())), pa.array(parts, ints), pa.array(cumulative, ints), pa.array([m.tobytes() for m in matrix], pa.binary())], ["doc_ids", "parts", "cu_seqlens", "ids"])
+    return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.list_(pa.int64())), pa.array(parts, ints), pa.array(cumulative, ints), pa.array(resets, ints), pa.array([m.tobytes() for m in matrix], pa.binary())], ["doc_ids", "parts", "cu_seqlens", "resets", "ids"])
 
 
 def positions(cu_seqlens: list[int], capacity: int = CAPACITY) -> np.ndarray:
@@ -246,8 +264,8 @@ def positions(cu_seqlens: list[int], capacity: int = CAPACITY) -> np.ndarray:
 
 
 def write(packed_rows: DataFrame, path: str) -> None:
-    """Write the matrix rows as Parquet with a `resets` column: where positions return to 0, padding included."""
-    packed_rows.withColumn("resets", F.array_distinct("cu_seqlens")).write.mode("overwrite").parquet(path)
+    """Write the matrix rows, with their cumulative lengths and position resets, as Parquet."""
+    packed_rows.write.mode("overwrite").parquet(path)
 
 
 def unpack(rows: list, dtype: type = np.uint16) -> dict:
