@@ -1,10 +1,12 @@
 """Licence scans: TF-IDF cosine of notices to templates, then inheritance from the nearest directory.
 
-Only DataFrame functions. In a text of any length that holds a cue, candidates are the whole text, each
-line with a cue, and each run of words around a cue word that is as long as some template; runs go
-over line ends and comment signs, so wrapped headers and notices inside paragraphs are found. Each becomes a sparse TF-IDF vector (weights from the
-templates, a fixed list) and is compared with every template's; the best at or above `least` is the
-file's own licence. A directory's licence is that of its best-matching file, then of the first by
+Only DataFrame functions. In a text of any length that holds a cue (a word that every template has),
+candidates are the whole text, each line and each block of lines with a cue, which are compared with
+every template (notices, tags, header blocks and whole licence files), and each run of words around
+a cue word that is as long as some notice, which is compared with the notices of its length. Runs
+and blocks go over line ends and comment signs, so wrapped headers and notices inside paragraphs are
+found. Each becomes a sparse TF-IDF vector, weighted by the templates; the best cosine at or above
+`least` gives the file's own licence. A directory's licence is that of its best-matching file, then of the first by
 path. A file without a licence of its own takes that of the nearest ancestor directory that has
 one: the ancestors of each distinct directory are joined with the licensed directories by path, so
 the join is over directories, not files.
@@ -12,9 +14,10 @@ the join is over directories, not files.
 Templates and their terms are constants of this module, a few hundred rows, and the only broadcast
 by hint; directories are joined as their measured size allows.
 
-Defined cases: null and empty texts have no licence of their own and may inherit; a null path is
-the root; ties between templates go to the id that sorts first; repeated rows get equal results; an
-empty table gives no rows.
+Defined cases: null and empty texts have no licence of their own and may inherit; very long texts
+are compared whole like any other; a null path is the root; ties between templates go to the id that
+sorts first; repeated rows get equal results; an empty table gives no rows; columns of the input
+that have the result's names are replaced, others stay.
 """
 
 from __future__ import annotations
@@ -24,10 +27,11 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: fixed values: licence ids and their usual notices
-TEMPLATES = (
+#: fixed values: licence ids and their usual notices, headings and tags
+NOTICES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("Apache-2.0", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
     ("BSD-3-Clause", "This source code is governed by a BSD-style license"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0"),
@@ -36,45 +40,107 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
     ("GPL-2.0", "This program is licensed under the GNU General Public License, version 2"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C)"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
     ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
     ("MIT", "Released under the MIT License"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("CC-BY-4.0", "SPDX-License-Identifier: CC-BY-4.0"),
+    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-only"),
+    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-or-later"),
+    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"),
+    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-or-later"),
+    ("ISC", "SPDX-License-Identifier: ISC"),
+    ("LGPL-3.0", "SPDX-License-Identifier: LGPL-3.0-or-later"),
+    ("MIT", "SPDX-License-Identifier: MIT"),
+    ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
 )
+#: fixed values: licence ids and the words of whole licence files and header blocks
+TEXTS = (
+    ("MIT", """MIT License Copyright (c) Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
+associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to
+use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the
+Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be
+included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO
+EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT
+OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("BSD-3-Clause", """Copyright (c) All rights reserved. Redistribution and use in source and binary forms, with or without modification, are
+permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this
+list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list
+of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the
+name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software
+without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR
+IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR
+CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR
+BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING
+NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""),
+    ("ISC", """ISC License Copyright (c) Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is
+hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS
+AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN
+NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM
+LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION
+WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+    ("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the
+License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed
+to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND,
+either express or implied. See the License for the specific language governing permissions and limitations under the License."""),
+    ("GPL-3.0", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as
+published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is
+distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS
+FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public
+License along with this program. If not, see http://www.gnu.org/licenses/"""),
+    ("MPL-2.0", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed
+with this file, You can obtain one at http://mozilla.org/MPL/2.0/"""),
+)
+TEMPLATES = NOTICES + TEXTS
 CUE = r"(?i)licen[cs]e|copyright|permission is hereby|redistribution and use"
 WORD = r"[a-z0-9]+(?:[.\-][a-z0-9]+)*"
 LEAST = 0.6
-SHORT = 2000  # of the SQL below only
 CUE_TERM = r"licen[cs]e|copyright|^permission$|^redistribution$"
+#: blocks of lines, which lines without a letter or digit part, comment signs or not
+BLOCK_END = r"\n[^A-Za-z0-9\n]*(?=\n)"
+RUN = 5  # shorter notices stand on lines of their own
+SIZES = [len(re.findall(WORD, notice.lower())) for _, notice in TEMPLATES]
+RUNS = sorted({n for n in SIZES[: len(NOTICES)] if n >= RUN})
 
 
 def _terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
+def _values() -> str:
+    return ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(TEMPLATES))
+
+
 def templates(spark: SparkSession) -> DataFrame:
-    """template, licence, term, weight (tf * idf over the vector's length); and idf for all terms."""
-    rows = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(TEMPLATES))
-    t = spark.sql(f"SELECT * FROM VALUES {rows} AS t(template, licence, notice)")
-    tf = t.select("template", "licence", F.explode(_terms(F.col("notice"))).alias("term")).groupBy("template", "licence", "term").agg(F.count("*").alias("tf"))
+    """term, idf and its weight in each template (tf * idf over the vector's length): a few hundred constant rows."""
+    t = spark.sql(f"SELECT * FROM VALUES {_values()} AS t(template, licence, notice)")
+    tf = t.select("template", F.explode(_terms(F.col("notice"))).alias("term")).groupBy("template", "term").agg(F.count("*").alias("tf"))
     idf = tf.groupBy("term").agg((F.log((1 + len(TEMPLATES)) / (1 + F.countDistinct("template"))) + 1).alias("idf"))
     w = tf.join(F.broadcast(idf), "term").withColumn("w", F.col("tf") * F.col("idf"))
     norm = w.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return w.join(F.broadcast(norm), "template").select("template", "licence", "term", "idf", (F.col("w") / F.col("norm")).alias("weight"))
+    weights = w.join(F.broadcast(norm), "template").groupBy("term").agg(F.first("idf").alias("idf"), *[F.sum(F.when(F.col("template") == k, F.col("w") / F.col("norm")).otherwise(0.0)).alias(f"w{k}") for k in range(len(TEMPLATES))])
+    return weights.select("term", "idf", F.array(*[f"w{k}" for k in range(len(TEMPLATES))]).alias("weights"))
 
 
 def runs(held: DataFrame) -> DataFrame:
-    """path and terms of every run of words that holds a cue word and has the length of some template."""
-    sizes = sorted({len(re.findall(WORD, notice.lower())) for _, notice in TEMPLATES})
-    far = sizes[-1] - 1
+    """path, terms and size of every run of words that holds a cue word and has the length of some notice."""
+    far = RUNS[-1] - 1
     words = held.select("path", _terms(F.col("text")).alias("terms"))
     at = F.filter(F.transform("terms", lambda x, i: F.when(x.rlike(CUE_TERM), i)), lambda i: i.isNotNull())
     # the words around each cue, equal surroundings of a text once, and where the cue is in them
     near = F.transform(at, lambda i: F.struct(F.slice("terms", F.greatest(i - far, F.lit(0)) + 1, F.least(i, F.lit(far)) + 1 + far).alias("near"), F.least(i, F.lit(far)).alias("cue")))
     near = words.select("path", F.inline(F.array_distinct(near)))
-    cut = lambda size: F.transform(F.sequence(F.greatest(F.col("cue") - size + 1, F.lit(0)), F.col("cue")), lambda k: F.slice("near", k + 1, F.lit(size)))
-    return near.select("path", F.explode(F.array_distinct(F.concat(*map(cut, sizes)))).alias("terms"))
+    cut = lambda size: F.transform(F.sequence(F.greatest(F.col("cue") - size + 1, F.lit(0)), F.col("cue")), lambda k: F.struct(F.slice("near", k + 1, F.lit(size)).alias("terms"), F.lit(size).alias("size")))
+    return near.select("path", F.inline(F.array_distinct(F.concat(*map(cut, RUNS)))))
 
 
 def own(files: DataFrame, least: float = LEAST) -> DataFrame:
@@ -82,41 +148,51 @@ def own(files: DataFrame, least: float = LEAST) -> DataFrame:
     known = templates(files.sparkSession)
     rare = F.log(F.lit(float(1 + len(TEMPLATES)))) + 1  # a term that no template has
     held = files.where(F.col("text").rlike(CUE))
-    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(CUE))
-    headers = held.select("path", F.explode(F.array_union(lines, F.array("text"))).alias("header")).select("path", _terms(F.col("header")).alias("terms")).unionByName(runs(held))
-    tf = (
-        headers.withColumn("part", F.monotonically_increasing_id())
-        .select("path", "part", F.explode("terms").alias("term")).groupBy("path", "part", "term").agg(F.count("*").alias("tf"))
+    pieces = F.array_union(F.split("text", "\n"), F.split("text", BLOCK_END))
+    parts = held.select("path", F.explode(F.array_union(F.filter(pieces, lambda x: x.rlike(CUE)), F.array("text"))).alias("part")).select("path", _terms(F.col("part")).alias("terms"), F.lit(None).cast("int").alias("size"))
+    terms = (
+        parts.unionByName(runs(held)).withColumn("part", F.monotonically_increasing_id())
+        .select("path", "part", "size", F.explode("terms").alias("term")).groupBy("path", "part", "size", "term").agg(F.count("*").alias("tf"))
     )
-    idf = known.select("term", "idf").distinct()
-    w = tf.join(F.broadcast(idf), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", rare)).drop("idf")
-    norm = w.groupBy("path", "part").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.struct("term", "w")).alias("vector"))
-    dot = norm.select("path", "part", "norm", F.explode("vector").alias("x")).select("path", "part", "norm", F.col("x.term").alias("term"), F.col("x.w").alias("w")).join(F.broadcast(known), "term")
-    scored = dot.groupBy("path", "part", "template", "licence").agg((F.sum(F.col("w") * F.col("weight")) / F.first("norm")).alias("cosine"))
-    scored = scored.withColumn("cosine", F.round("cosine", 9)).where(F.col("cosine") >= least)
-    best = F.min(F.struct((-F.col("cosine")).alias("c"), "licence"))
-    return scored.groupBy("path").agg(best.alias("b")).select("path", F.col("b.licence").alias("licence"), (-F.col("b.c")).alias("cosine"))
+    w = terms.join(F.broadcast(known), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", rare))
+    dots = [F.coalesce(F.sum(F.col("w") * F.col("weights")[k]), F.lit(0.0)) for k in range(len(TEMPLATES))]
+    vector = w.groupBy("path", "part", "size").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.array(*dots).alias("dots"))
+    # a run is compared with the notices of its own length, all else with every template
+    sizes, names = F.array(*map(F.lit, SIZES)), F.array(*[F.lit(name) for name, _ in TEMPLATES])
+    fits = F.filter(F.transform("dots", lambda x, k: F.struct((-F.round(x / F.col("norm"), 9)).alias("c"), F.get(names, k).alias("licence"), F.get(sizes, k).alias("n"))), lambda x: (x["c"] <= -least) & (F.col("size").isNull() | (F.col("size") == x["n"])))
+    best = vector.select("path", F.array_min(fits).alias("b")).where("b is not null").groupBy("path").agg(F.min("b").alias("b"))
+    return best.select("path", F.col("b.licence").alias("licence"), (-F.col("b.c")).alias("cosine"))
 
 
 def _dir(path: str = "path") -> Column:
     return F.regexp_extract(F.col(path), r"^(.*)/[^/]*$", 1)
 
 
+FOUND = ("dir", "licence", "cosine", "origin", "licence_dir")
+
+
 def scan(files: DataFrame, least: float = LEAST) -> DataFrame:
-    """files' rows with dir, licence, cosine, and source: own, inherited or none, and licence_dir, where it comes from."""
-    files = files.withColumn("path", F.coalesce("path", F.lit(""))).withColumn("dir", _dir())
+    """files' rows with dir, licence, cosine, and origin: own, inherited or none, and licence_dir, where it comes from.
+
+    These replace columns of files that have their names.
+    """
+    files = files.drop(*FOUND).withColumn("path", F.coalesce("path", F.lit(""))).withColumn("dir", _dir())
+    columns = [c for c in files.columns if c != "text"]
     mine = own(files.select("path", "text"), least)
     licensed = mine.withColumn("dir", _dir()).groupBy("dir").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "path", "licence")).alias("b")).select(F.col("dir").alias("licence_dir"), F.col("b.licence").alias("from_dir"))
     dirs = files.select("dir").distinct()
     parts = F.split("dir", "/")
     ancestors = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
-    near = dirs.select("dir", F.posexplode(F.array_distinct(ancestors)).alias("depth", "licence_dir")).join(licensed, "licence_dir")
+    # one row for each of a directory's ancestors; the root, which all have, is one row and met apart
+    root = licensed.where("licence_dir = ''").select(F.col("licence_dir").alias("_root"), F.col("from_dir").alias("root_licence"))
+    near = dirs.select("dir", F.posexplode(F.array_distinct(ancestors)).alias("depth", "licence_dir")).where("licence_dir <> ''").join(licensed, "licence_dir")
     near = near.groupBy("dir").agg(F.max(F.struct("depth", "licence_dir", "from_dir")).alias("b")).select("dir", F.col("b.licence_dir").alias("licence_dir"), F.col("b.from_dir").alias("from_dir"))
-    out = files.drop("text").join(mine, "path", "left").join(near, "dir", "left")
-    has = F.col("licence").isNotNull()
+    out = files.select(columns).join(mine, "path", "left").join(near, "dir", "left").join(F.broadcast(root), F.substring("dir", 1, 0) == F.col("_root"), "left")
+    has, under = F.col("licence").isNotNull(), F.col("from_dir").isNotNull()
     return out.select(
-        *[c for c in files.columns if c != "text"], F.coalesce("licence", "from_dir").alias("licence"), "cosine",
-        F.when(has, "own").when(F.col("from_dir").isNotNull(), "inherited").otherwise("none").alias("origin"), F.when(has, F.col("dir")).otherwise(F.col("licence_dir")).alias("licence_dir"),
+        *columns, F.coalesce("licence", "from_dir", "root_licence").alias("licence"), "cosine",
+        F.when(has, "own").when(under | F.col("root_licence").isNotNull(), "inherited").otherwise("none").alias("origin"),
+        F.when(has, F.col("dir")).when(under, F.col("licence_dir")).when(F.col("root_licence").isNotNull(), "").alias("licence_dir"),
     )
 
 
@@ -127,24 +203,30 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def oracle() -> str:
-    notices = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(TEMPLATES))
     n = len(TEMPLATES)
     return rf"""
-WITH t(template, licence, notice) AS (VALUES {notices}),
+WITH t(template, licence, notice) AS (VALUES {_values()}),
 ttf AS (SELECT template, licence, term, count(*) AS tf FROM (SELECT template, licence, unnest(regexp_extract_all(lower(notice), '{WORD}')) AS term FROM t) GROUP BY ALL),
+tsize AS (SELECT template, sum(tf) AS n FROM ttf GROUP BY template),
 idf AS (SELECT term, ln({n + 1}.0 / (1 + count(DISTINCT template))) + 1 AS idf FROM ttf GROUP BY term),
 tw AS (SELECT template, licence, term, tf * idf AS w FROM ttf JOIN idf USING (term)),
 tn AS (SELECT template, sqrt(sum(w * w)) AS norm FROM tw GROUP BY template),
-known AS (SELECT template, licence, term, w / norm AS weight FROM tw JOIN tn USING (template)),
+known AS (SELECT template, licence, term, n, w / norm AS weight FROM tw JOIN tn USING (template) JOIN tsize USING (template)),
 f AS (SELECT doc_id, concat_ws('/', coalesce(source, '_'), coalesce(lang, '_'), coalesce((doc_id // 64)::VARCHAR, '_')) AS dir, coalesce(text, '') AS text FROM documents),
 files AS (SELECT *, dir || '/' || coalesce(doc_id::VARCHAR, '_') AS path FROM f),
-headers AS (SELECT DISTINCT path, header FROM (
-  SELECT path, unnest(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{CUE}'))) AS header FROM files WHERE regexp_matches(text, '{CUE}')
-  UNION ALL SELECT path, text FROM files WHERE regexp_matches(text, '{CUE}') AND length(text) <= {SHORT})),
-htf AS (SELECT path, header, term, count(*) AS tf FROM (SELECT path, header, unnest(regexp_extract_all(lower(header), '{WORD}')) AS term FROM headers) GROUP BY ALL),
-hw AS (SELECT path, header, term, tf * coalesce(idf, ln({n + 1}.0) + 1) AS w FROM htf LEFT JOIN idf USING (term)),
-hn AS (SELECT path, header, sqrt(sum(w * w)) AS norm FROM hw GROUP BY ALL),
-scored AS (SELECT path, licence, round(sum(w * weight) / any_value(norm), 9) AS cosine FROM hw JOIN hn USING (path, header) JOIN known USING (term) GROUP BY path, header, template, licence),
+held AS (SELECT path, text, regexp_extract_all(lower(text), '{WORD}') AS terms FROM files WHERE regexp_matches(text, '{CUE}')),
+pieces AS (SELECT path, unnest(list_filter(list_concat(string_split(text, chr(10)), string_split_regex(regexp_replace(text, '\n(?:[^A-Za-z0-9\n]*\n)+', chr(1), 'g'), chr(1))), lambda x: regexp_matches(x, '{CUE}'))) AS piece FROM held
+  UNION SELECT path, text FROM held),
+cues AS (SELECT path, terms, unnest(list_filter(range(len(terms)), lambda i: regexp_matches(terms[i + 1], '{CUE_TERM}'))) AS i FROM held),
+sizes AS (SELECT unnest([{", ".join(map(str, RUNS))}]) AS n),
+starts AS (SELECT DISTINCT path, terms, n, unnest(range(greatest(i - n + 1, 0), i + 1)) AS k FROM cues, sizes),
+cand AS (SELECT path, NULL AS size, regexp_extract_all(lower(piece), '{WORD}') AS terms FROM pieces
+  UNION SELECT path, n AS size, list_slice(terms, k + 1, k + n) FROM starts),
+parts AS (SELECT path, size, terms, row_number() OVER () AS part FROM cand),
+htf AS (SELECT path, part, size, term, count(*) AS tf FROM (SELECT path, part, size, unnest(terms) AS term FROM parts) GROUP BY ALL),
+hw AS (SELECT path, part, size, term, tf * coalesce(idf, ln({n + 1}.0) + 1) AS w FROM htf LEFT JOIN idf USING (term)),
+hn AS (SELECT path, part, sqrt(sum(w * w)) AS norm FROM hw GROUP BY ALL),
+scored AS (SELECT path, licence, round(sum(w * weight) / any_value(norm), 9) AS cosine FROM hw JOIN hn USING (path, part) JOIN known USING (term) WHERE size IS NULL OR size = n GROUP BY path, part, template, licence),
 mine AS (SELECT path, licence, cosine FROM scored WHERE cosine >= {LEAST} QUALIFY row_number() OVER (PARTITION BY path ORDER BY cosine DESC, licence) = 1),
 licensed AS (SELECT dir, licence FROM mine JOIN files USING (path) QUALIFY row_number() OVER (PARTITION BY dir ORDER BY cosine DESC, path) = 1),
 near AS (SELECT d.dir, l.dir AS licence_dir, l.licence AS from_dir FROM (SELECT DISTINCT dir FROM files) d JOIN licensed l ON d.dir = l.dir OR starts_with(d.dir, l.dir || '/') OR l.dir = ''
