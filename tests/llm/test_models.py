@@ -69,6 +69,9 @@ def test_token_packing_round_trip(spark):
     ids = tokenpack.unpack(rows)
     assert {d: whole.decode(x[:-1].tolist()) for d, x in ids.items()} == {i: t or "" for i, t in enumerate(texts)}
     assert all(len(r.ids) == 512 for r in rows)
+    for r in rows:
+        at = tokenpack.positions(r.cu_seqlens, 256)
+        assert list(r.resets) == np.flatnonzero(at == 0)[: len(r.resets)].tolist() and r.cu_seqlens[-1] in (*r.resets, 256)
     assert tokenpack.positions([0, 2, 5], 6).tolist() == [0, 1, 0, 1, 2, 0]
     assert sum(len(r.doc_ids) for r in tokenpack.packed(odd(spark)).collect()) >= 10
     assert tokenpack.packed(empty(spark)).count() == 0
@@ -130,6 +133,14 @@ def test_near_dedup_odd(spark):
     assert minhash.digest(empty(spark)).count() == 0
 
 
+def test_near_dedup_tells_rows_of_one_id_or_none_apart(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    texts = [a, a + " tail", b, "only here", a, "and here", "and here", None, b + " end", "last one"]
+    ids = [1, 2, 2, 2, None, None, None, None, 9, 9]
+    left = sorted((r.text or "") for r in minhash.deduplicated(docs(spark, texts, ids)).collect())
+    assert [t[:8] for t in left] in (sorted([a[:8], b[:8], "only her", "and here", "", "last one"]),)
+
+
 @pytest.mark.parametrize("head", [2_000_000, 20])
 def test_suffix_tree_baseline_is_exact(spark, head):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(90001, None), (90002, "")], "doc_id long, text string"))
@@ -171,6 +182,17 @@ def test_suffix_tree_keeps_rare_contexts_whichever_way_they_are_met(spark):
         assert [got[r.doc_id] for r in rows] == pytest.approx(want.tolist(), rel=1e-6)
 
 
+def test_rare_languages_are_learned_and_unknown_scripts_rejected(spark):
+    rows = [(i, "the cat and the dog went home with me", "en") for i in range(300)] + [(1000 + i, "der Hund und die Katze gehen nach Hause", "de") for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.fit(df, fit_rows=20).languages == ["de", "en"]
+    strange = spark.createDataFrame([(5000, "漢字仮名交じり文", "en"), (5001, None, "en"), (5002, "12 34 !", "en")], df.schema)
+    both = df.unionByName(strange).withColumn("score", F.lit("mine")).withColumn("lang_pred", F.lit(1))
+    left = langid.accepted(both)
+    assert left.columns == both.columns and {r.doc_id for r in left.collect()} == {i for i, _, _ in rows}
+    assert langid.predict(both, langid.fit(df)).columns.count("score") == 1
+
+
 def test_toxicity_held_out(spark):
     d, l = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     got = toxicity.digest(d, l).where("held_out").join(l, "doc_id").groupBy("toxic").agg(F.avg("predicted").alias("p")).collect()
@@ -212,3 +234,17 @@ def test_suffix_tree_scores_some_words_as_all():
     for pick in (rng.random(len(p)) < 0.4, np.zeros(len(p), bool), np.ones(len(p), bool)):
         _, got, some = suffixtree.word_scores(tree, data, off, lambda w, pick=pick: pick)
         assert (got == pick).all() and (some == p[pick]).all()
+
+
+def test_licences_of_headings_tags_blocks_and_whole_files(spark):
+    header = "/*\n * " + licences.TEXTS[3][1].replace("\n", "\n * ") + "\n */\n"
+    files = [
+        ("a/LICENSE", "GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n\nCopyright (C) 2007 a name"), ("b/x.py", "# SPDX-License-Identifier: MIT\ncode"), ("c/LICENSE", licences.TEXTS[0][1]),
+        ("d/x.c", header + "int main;\n" * 3000), ("e/LICENSE", "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007"), ("f/g/h.c", "int x;"), ("root", "Licensed under CC BY 4.0"),
+    ]
+    df = spark.createDataFrame(files, "path string, text string")
+    for name in ("licence", "cosine", "part", "size", "b", "origin"):
+        df = df.withColumn(name, F.lit(7))
+    got = {r.path: (r.licence, r.origin, r.licence_dir, r.part) for r in licences.scan(df).collect()}
+    own = {"a/LICENSE": "GPL-3.0", "b/x.py": "MIT", "c/LICENSE": "MIT", "d/x.c": "Apache-2.0", "e/LICENSE": "LGPL-3.0", "root": "CC-BY-4.0"}
+    assert got == {p: (x, "own", p.rpartition("/")[0], 7) for p, x in own.items()} | {"f/g/h.c": ("CC-BY-4.0", "inherited", "", 7)}
