@@ -1,22 +1,28 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 For each class an interpolated Kneser-Ney model over words. Every count is a continuation count (of
-different preceding words), so that a passage copied many times counts once. Bigrams back off to
-the class's own words, these to the class's stems (leading bytes), and those to counts that both
-classes share. A pair, word or stem gets class estimates of its own only if it is frequent enough
-for the classes to differ by a G test; every rarer expression has the shared counts on both sides
-and so weighs nothing.
-
-The mean per word of the two log-likelihoods' difference is the
-evidence; a logistic curve fitted on labelled rows kept out of the counts turns it into a score.
-
-Fitted on as many labelled rows of each class, at most `fit_rows`, the first by a hash of the id (never the held-out
-fifth); the model ships at most `most` entries of each kind, the most frequent, so its size
-is bounded. Every word of every whole text is scored.
+different preceding words), so that a passage copied many times counts once. Pairs back off to the
+class's words, these to the class's stems (leading bytes), and those to counts that the classes
+share: the words of both together, and a uniform share for words never seen. The classes keep
+estimates of their own for the expressions whose counts differ (`LEAST`, `G_LEAST`, `FACTOR`); the
+mass of all others goes to the shared counts, the same on either side, so they move a text's score
+only as far as the classes' whole shares differ. With own estimates for every expression the
+chance differences of rare words, and those of the languages' shares in the classes, outweigh a few
+toxic words in a long text (figures in the README).
+
+The mean per word of the two log-likelihoods' difference is the evidence; a logistic curve fitted on
+labelled rows kept out of the counts turns it into a score.
+
+Fitted on as many labelled rows of each class, the first by a hash of the id, of which each class has
+at most `fit_rows` and together at most `fit_bytes` of text (never the held-out fifth). These two
+documented bounds are the only ones, and bound the model: a word and a pair take two bytes of the
+sample at least. Every word of every whole text, of any length, is scored.
 
 Defined cases: an empty or null text has evidence 0; null labels are not learned; a document with
-several labels counts as toxic if one of them says so; without a labelled row of each class every
-score is 0; repeated rows get equal scores; an empty table gives no rows. Extra columns are ignored.
+several labels counts as toxic if one of them says so; of several rows with a labelled id the one
+whose text sorts last is learned from; equal hashes of ids are taken in the order of the ids; without
+a labelled row of each class every score is 0; repeated rows get equal scores; an empty table gives
+no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,13 +32,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
+from .store import written
 
-FIT_ROWS = 10_000
-MOST = 400_000
+FIT_ROWS = 10_000  # of each class
+FIT_BYTES = 128 << 20
 # an estimate of its own: so many occurrences, so large a G statistic of the class difference, and rates that differ by this factor
 LEAST, G_LEAST, FACTOR = 4, 9.0, 4.0
 STEM = 5  # leading bytes of a word
@@ -41,13 +48,13 @@ START = np.uint64(0x5EED5EED5EED5EED)  # stands before a text's first word
 
 @dataclass
 class Model:
-    word: np.ndarray  # sorted hashes
-    unigram: np.ndarray  # [word, class] probability
+    word: np.ndarray  # sorted hashes of all words
+    unigram: np.ndarray  # [word, class] probability by words, stems and shared counts
     stem: np.ndarray  # sorted hashes
-    of_stem: np.ndarray  # [stem, class] probability of any one word of the stem that is not listed itself
-    unseen: np.ndarray  # [class] probability of a word of which neither is listed
+    of_stem: np.ndarray  # [stem, class] probability of a word never seen, by its stem
+    unseen: np.ndarray  # [class] probability of a word never seen whose stem is not listed
     context: np.ndarray  # sorted hashes of words that listed pairs begin with
-    back: np.ndarray  # [context, class] weight of the unigram after this word
+    back: np.ndarray  # [context, class] weight of the words after this word
     pair: np.ndarray  # sorted hashes
     bigram: np.ndarray  # [pair, class] discounted probability
     slope: float = 1.0
@@ -73,8 +80,8 @@ def _tokens(data: np.ndarray, off: np.ndarray) -> tuple[K.Words, np.ndarray, np.
     return w, before, K.mix(before * np.uint64(K.BASE) + w.hash), K.mix(stem)
 
 
-def _sample(docs: DataFrame, labels: DataFrame, fit_rows: int) -> DataFrame:
-    """text and toxic of at most fit_rows labelled, not held-out rows a class; fold 0 is for the curve."""
+def _sample(docs: DataFrame, labels: DataFrame, fit_rows: int, fit_bytes: int) -> DataFrame:
+    """text and toxic of the labelled, not held-out rows to learn from; fold 0 is for the curve."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     key = F.xxhash64("doc_id")
     has = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
@@ -84,7 +91,9 @@ def _sample(docs: DataFrame, labels: DataFrame, fit_rows: int) -> DataFrame:
         part = known.where(F.col("toxic") == c).orderBy(key, "doc_id").limit(fit_rows)
         chosen = part if chosen is None else chosen.unionByName(part)
     chosen = chosen.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(4)).cast("int"))
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic", "fold")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic", "fold").agg(F.max("text").alias("text"))
+    first = Window.partitionBy("toxic").orderBy(key, "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # of two classes, fit_rows rows each
+    return rows.withColumn("bytes", F.sum(F.octet_length(F.coalesce("text", F.lit("")))).over(first)).where(F.col("bytes") * 2 <= fit_bytes).select("text", "toxic", "fold")
 
 
 def _counts(sample: DataFrame) -> DataFrame:
@@ -112,73 +121,75 @@ def _counts(sample: DataFrame) -> DataFrame:
     return once.groupBy("pair").agg(*[F.first(c).alias(c) for c in ("v", "w", "stem")], F.sum(1 - F.col("toxic")).alias("n0"), F.sum("toxic").alias("n1"))
 
 
-def _summary(counts: DataFrame) -> dict:
-    sums = [F.sum(c).alias(c) for c in ("n0", "n1")] + [F.count("*").alias("types")]
-    sums += [F.sum((F.col(c) == k).cast("long")).alias(f"{c}_{k}") for c in ("n0", "n1") for k in (1, 2)]
-    return counts.agg(*sums).first().asDict()
+def _discount(n: np.ndarray) -> np.ndarray:
+    """Kneser and Ney's estimate for each class, from the numbers of entries seen once and twice."""
+    one, two = (n == 1).sum(0), (n == 2).sum(0)
+    return np.where(one + two > 0, np.clip(one / np.maximum(one + 2 * two, 1), 0.05, 0.95), 0.5)
+
 
+def _differs(n: np.ndarray) -> np.ndarray:
+    """Entries seen often enough whose class counts a G test and the ratio of rates tell from the classes' sizes."""
+    size, total = n.sum(0), n.sum(1)
+    expect = total[:, None] * size / size.sum()
+    g = 2 * np.where(n > 0, n * np.log(np.maximum(n, 1) / np.maximum(expect, 1e-300)), 0.0).sum(1)
+    ratio = (n[:, 1] + 0.5) * size[0] / ((n[:, 0] + 0.5) * size[1])
+    return (total >= LEAST) & (g >= G_LEAST) & ((ratio > FACTOR) | (ratio < 1 / FACTOR))
 
-def _differs(n: dict) -> Column:
-    """Often enough, and a G test of the class counts against the classes' sizes."""
-    total = F.col("n0") + F.col("n1")
-    both = n["n0"] + n["n1"]
-    parts = [F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) * both / (total * n[c]))).otherwise(0.0) for c in ("n0", "n1")]
-    ratio = (F.col("n1") + 0.5) * n["n0"] / ((F.col("n0") + 0.5) * n["n1"])
-    return (total >= LEAST) & (2 * (parts[0] + parts[1]) >= G_LEAST) & ~ratio.between(1 / FACTOR, FACTOR)
 
+def _own(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which entries have estimates of their own, and [entry, class] their discounted shares (0 for the others)."""
+    listed = _differs(n)
+    return listed, np.where(listed[:, None], np.maximum(n - _discount(n), 0) / n.sum(0), 0.0)
 
-def _discount(n: dict) -> np.ndarray:
-    """Kneser and Ney's estimate from the numbers of entries seen once and twice."""
-    out = []
-    for c in ("n0", "n1"):
-        one, two = n[f"{c}_1"] or 0, n[f"{c}_2"] or 0
-        out.append(min(0.95, max(0.05, one / (one + 2 * two))) if one + two else 0.5)
-    return np.array(out)
 
+def interpolated(pair: np.ndarray, v: np.ndarray, w: np.ndarray, stem: np.ndarray, n: np.ndarray) -> Model | None:
+    """The model of distinct pairs: their hashes, the hashes of their words and of the second's stem, [pair, class] counts."""
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, most: int = MOST) -> Model | None:
-    from .store import written
+    def spread(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct keys, the first pair of each, and by class in how many different pairs they end."""
+        keys, first, of = np.unique(key, return_index=True, return_inverse=True)
+        return keys, first, np.stack([np.bincount(of, n[:, c] > 0, len(keys)) for c in (0, 1)], 1)
 
-    sample = written(_sample(docs, labels, fit_rows), "op3-sample")
-    pairs = written(_counts(sample.where("fold > 0")), "op3-pairs")
-    seen = [F.sum((F.col(c) > 0).cast("long")).alias(c) for c in ("n0", "n1")]
-    words = written(pairs.groupBy("w").agg(F.first("stem").alias("stem"), *seen), "op3-words")
-    stems = written(pairs.groupBy("stem").agg(F.approx_count_distinct("w").alias("words"), *seen), "op3-stems")
-    of = {"pair": _summary(pairs), "word": _summary(words), "stem": _summary(stems)}
-    if not all(of["word"][c] for c in ("n0", "n1")):
+    word, first, words = spread(w)
+    if not words.sum(0).all():
         return None
-    total = F.col("n0") + F.col("n1")
-
-    def top(df: DataFrame, kind: str, key: str) -> tuple[pa.Table, np.ndarray, np.ndarray]:
-        """The entries that differ, at most `most`, by hash: table, hashes, [entry, class] counts."""
-        t = df.where(_differs(of[kind])).orderBy(total.desc(), key).limit(most).toArrow()
-        h = t.column(key).to_numpy().view(np.uint64)
-        order = np.argsort(h)
-        return t.take(pa.array(order)), h[order], np.stack([t.column(c).to_numpy() for c in ("n0", "n1")], 1)[order].astype(float)
-
-    size = np.array([of["word"]["n0"], of["word"]["n1"]], float)
-    t, stem, n = top(stems, "stem", "stem")
-    kept = np.maximum(n - _discount(of["stem"]), 0) / size
-    unseen = (1 - kept.sum(0)) / (of["word"]["types"] + 1)
-    of_stem = kept / (t.column("words").to_numpy()[:, None] + 1.0) + unseen
-    t, word, n = top(words, "word", "w")
-    kept = np.maximum(n - _discount(of["word"]), 0) / size
-    rest = 1 - kept.sum(0)
-    of_stem, unseen = rest * of_stem, rest * unseen
-    at, ok = _find(stem, t.column("stem").to_numpy().view(np.uint64))
-    unigram = kept + np.where(ok[:, None], of_stem[at] if len(stem) else 0.0, unseen)
-    t, pair, n = top(pairs, "pair", "pair")
-    heads = docs.sparkSession.createDataFrame(t.select(["v"])).distinct()
-    after = pairs.join(F.broadcast(heads), "v", "left_semi").groupBy("v").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
-    context = after.column("v").to_numpy().view(np.uint64)
-    order = np.argsort(context)
-    context, follows = context[order], np.stack([after.column(c).to_numpy() for c in ("n0", "n1")], 1)[order].astype(float)
-    at, _ = _find(context, t.column("v").to_numpy().view(np.uint64))
-    bigram = np.maximum(n - _discount(of["pair"]), 0) / np.maximum(follows[at], 1) if len(pair) else np.zeros((0, 2))
+    # what the classes share: the words of both together, and a uniform share that one word never seen has too
+    both = words.sum(1)
+    d = _discount(both[:, None])[0]
+    uniform = d * len(word) / both.sum() / (len(word) + 1)
+    shared = (both - d) / both.sum() + uniform
+    stems, _, ends = spread(stem)
+    listed, own = _own(ends)
+    stems, own = stems[listed], own[listed]
+    at, ok = _find(stems, stem[first])
+    kinds = np.bincount(at[ok], minlength=len(stems))  # words of each listed stem, and one never seen
+    by_stem = own / (kinds[:, None] + 1.0)
+    rest = 1 - own.sum(0)
+    lower = rest * shared[:, None] + (np.where(ok[:, None], by_stem[at], 0.0) if len(stems) else 0.0)
+    _, own = _own(words)
+    rest_of_words = 1 - own.sum(0)
+    unigram = own + rest_of_words * lower
+    unseen = rest_of_words * rest * uniform
+    of_stem = rest_of_words * by_stem + unseen
+    # pairs: discounted shares of what follows their first word
+    listed = _differs(n)
+    context, after = np.unique(v, return_inverse=True)
+    follows = np.stack([np.bincount(after, n[:, c], len(context)) for c in (0, 1)], 1)
+    bigram = np.maximum(n[listed] - _discount(n), 0) / np.maximum(follows[after[listed]], 1)
     back = np.ones_like(follows)
-    np.subtract.at(back, at, bigram)
-    model = Model(word, unigram, stem, of_stem, unseen, context, back, pair, bigram)
-    _curve(model, sample.where("fold = 0"))
+    np.subtract.at(back, after[listed], bigram)
+    some = np.unique(after[listed])
+    order = np.argsort(pair[listed])
+    return Model(word, unigram, stems, of_stem, unseen, context[some], back[some], pair[listed][order], bigram[order])
+
+
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> Model | None:
+    sample = written(_sample(docs, labels, fit_rows, fit_bytes), "op3-sample")
+    t = _counts(sample.where("fold > 0")).toArrow()
+    n = np.stack([t.column(c).to_numpy().astype(float) for c in ("n0", "n1")], 1)
+    model = interpolated(*(t.column(c).to_numpy().view(np.uint64) for c in ("pair", "v", "w", "stem")), n)
+    if model is not None:
+        _curve(model, sample.where("fold = 0"))
     return model
 
 
@@ -202,9 +213,7 @@ def evidence(m: Model, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         return np.where(ok[:, None], values[at], other) if len(keys) else np.broadcast_to(other, (len(first), 2))
 
     p = of(m.word, m.unigram, w.hash, of(m.stem, m.of_stem, stem, m.unseen))
-    weight = of(m.context, m.back, before, 1.0)
-    two = of(m.pair, m.bigram, pair, 0.0)
-    p = np.log(two + weight * p)
+    p = np.log(of(m.pair, m.bigram, pair, 0.0) + of(m.context, m.back, before, 1.0) * p)
     gain = np.bincount(w.doc(), (p[:, 1] - p[:, 0])[code], docs)
     return gain / np.maximum(w.count, 1)
 
