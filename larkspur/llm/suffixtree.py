@@ -6,28 +6,27 @@ seen `least` times in training and their next-symbol counts diverge from those o
 is one symbol shorter (a likelihood-ratio test); retained contexts keep their suffixes. A context's
 distribution is its counts plus `weight` times its suffix's distribution, down to the symbols' own
 frequencies, so it sums to one and nothing has probability zero. Each symbol is scored in the state
-of its longest retained suffix, which gives a token (word and blank, or the end) its probability by
-the tree; to smooth further, that is mixed half and half with the token's own training frequency,
-which leaves a distribution over texts.
+of its longest retained suffix; a text's score is the sum over its symbols, by the tree alone.
 
 Counts cover every training row, and name the strings of held-out rows with a count of zero. Each
 task counts its own symbol strings and words before the shuffle. The tree stays distributed: one
 table for each depth, tested from the longest contexts to the shortest and smoothed the other way,
-until every string of `depth` + 1 symbols that occurs has its probability. Strings that make up at
-least 1/`strings` of all symbols (so at most `strings` of them) and words that make up at least
-1/`head` of all tokens are broadcast; the rest meet their probabilities and counts in joins by
-value, so which way a string goes changes the cost and not the score.
+until every string of `depth` + 1 symbols that occurs has its probability. The `strings` most
+frequent strings and the `head` most frequent words at most are broadcast; the rest meet their
+probabilities and counts in joins by value, each text's distinct ones once, so which way a string
+goes changes the cost and not the score.
 
 grow() and score() are the same tree held whole in one process, for comparison.
 
 Defined cases: a null or empty text is the end token alone; a null doc_id is a training row; rows
-that repeat count, and are scored, each for itself; without training rows every symbol is equally
-likely; an empty table gives no rows. Extra columns are ignored.
+that repeat count, and are scored, each for itself; texts of any length are counted and scored
+whole; strings as frequent as one another are broadcast together or not at all; without training
+rows every symbol is equally likely; an empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,15 +38,14 @@ from pyspark.sql import functions as F
 from . import kernel as K
 from .store import written
 
-DEPTH = 5
+DEPTH = 6
 LEAST = 2  # training occurrences of a context
 CUT = 8.0  # log-likelihood ratio from which a context is retained
-HEAD = 2_000_000
-STRINGS = 8_000_000
-MIX = 0.5  # share of the words' own frequencies in the probability of a token
+HEAD = 1_000_000
+STRINGS = 4_000_000
 WEIGHT = 6.0
 END = 10  # the end symbol; no word holds it
-KEPT = 1 << 21  # distinct strings that a task holds before it hands them on
+KEPT = 1 << 22  # distinct strings that a task holds before it hands them on
 
 
 @dataclass
@@ -229,7 +227,7 @@ def grow(strings: DataFrame, total: int, depth: int = DEPTH, least: float = 0.0,
         row[kept] = np.arange(len(kept))
         mine = row[of] >= 0
         parent = np.searchsorted(order[d - 1], ctx[kept] >> np.uint64(8)) if d > 1 else np.zeros(len(kept), np.int64)
-        dist = (full[d - 1][parent] * (weight / (size[kept] + weight))[:, None]).astype(np.float32 if d > 2 else np.float64)
+        dist = (full[d - 1][parent] * (weight / (size[kept] + weight))[:, None])
         dist[row[of][mine], s[mine].astype(np.int64)] += n[mine] / (size[kept] + weight)[row[of][mine]]
         tree.contexts.append(ctx[kept])
         tree.back.append(np.log10(weight / (size[kept] + weight)))
@@ -282,27 +280,17 @@ def token_scores(tree: Tree, data: np.ndarray, off: np.ndarray) -> tuple[K.Words
     return w, total[word], total[end]
 
 
-def word_scores(tree: Tree, data: np.ndarray, off: np.ndarray, wanted: Callable[[K.Words], np.ndarray]) -> tuple[K.Words, np.ndarray, np.ndarray]:
-    """The words; those wanted; of these, what token_scores gives, without looking at the other words' symbols."""
-    depth = len(tree.contexts)
-    s, _, w = stream(data, off, depth)
-    pick = wanted(w)
-    size = w.end - w.start + 1
-    place = (np.cumsum(size) - size + w.doc() * (depth + 1) + depth)[pick]
-    size = size[pick]
-    if not len(size):
-        return w, pick, np.zeros(0)
-    first = np.cumsum(size) - size
-    at = np.arange(int(size.sum())) + np.repeat(place - first, size)
-    key = s[at].astype(np.uint64)
-    for d in range(1, depth + 1):
-        key |= s[at - d].astype(np.uint64) << np.uint64(8 * (depth + 1 - d))
-    code, one = K.distinct(key)
-    u = key[one]
-    order = np.argsort(u)
-    p = np.empty(len(u))
-    p[order] = score(tree, u[order])
-    return w, pick, np.add.reduceat(p[code], first)
+def _floor(table: DataFrame, count: str, most: int) -> int:
+    """The least count that at most `most` rows of the table reach; counts over 4096 go by powers of two."""
+    n = F.col(count)
+    step = F.when(n <= 4096, n).otherwise(F.pow(F.lit(2.0), F.floor(F.log2(n))).cast("long"))
+    total, floor = 0, None
+    for r in sorted(table.groupBy(step.alias("n")).agg(F.count("*").alias("rows")).collect(), reverse=True):
+        total += r.rows
+        if total > most:
+            return floor if floor is not None else 2 * r.n
+        floor = r.n
+    return 1
 
 
 def scores(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, head: int = HEAD, strings: int = STRINGS) -> DataFrame:
@@ -314,7 +302,8 @@ def scores(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, head: int =
     ends = get(2, "n")
     tokens, types = get(1, "n") + ends, get(1, "v") + (ends > 0)
     tree = probabilities(found.where("kind = 0").select("key", "n", "m"), depth, least)
-    floor, bound = max(1, -(-tokens // head)), max(1, -(-get(0, "m") // strings))
+    words = found.where("kind = 1 and n > 0").select("key", "n")
+    floor, bound = _floor(words, "n", head), _floor(tree, "m", strings)
 
     def table(df: DataFrame, value: str) -> tuple[np.ndarray, np.ndarray]:
         t = df.select("key", value).toArrow()
@@ -322,10 +311,8 @@ def scores(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, head: int =
         order = np.argsort(key)
         return key[order], t.column(value).to_numpy()[order]
 
-    shipped = docs.sparkSession.sparkContext.broadcast((table(tree.where(f"m >= {bound}"), "logp"), table(found.where(f"kind = 1 and n >= {floor}"), "n")))
+    shipped = docs.sparkSession.sparkContext.broadcast((table(tree.where(f"m >= {bound}"), "logp"), table(words.where(f"n >= {floor}"), "n")))
     base = np.log10(ends + 1.0)
-    share = MIX if tokens else 0.0
-    rest = np.log10(1 - share)
 
     def look(have: tuple[np.ndarray, np.ndarray], key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether each key is in the table, and its value or 0."""
@@ -335,68 +322,48 @@ def scores(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, head: int =
         known = have[0][at] == key
         return known, np.where(known, have[1][at], 0)
 
-    def lists(doc: np.ndarray, docs: int, **fields: pa.Array) -> pa.Array:
-        return pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(docs + 1)).astype(np.int32)), pa.StructArray.from_arrays(list(fields.values()), list(fields)))
+    def lists(doc: np.ndarray, key: np.ndarray, docs: int) -> pa.Array:
+        """Of each document, its distinct keys and how often it has them."""
+        order = np.lexsort((key, doc))
+        doc, key = doc[order], key[order]
+        first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])) if len(key) else np.zeros(0, np.int64)
+        times = np.diff(np.concatenate([first, [len(key)]]))
+        pairs = pa.StructArray.from_arrays([pa.array(key[first].view(np.int64)), pa.array(times)], ["key", "times"])
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[first], np.arange(docs + 1)).astype(np.int32)), pairs)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        strings_, words_ = shipped.value
         for batch in batches:
             data, off = K.utf8(batch.column(1))
             for i, j in K.blocks(off, K.BLOCK // 4):
-                have, words = shipped.value
                 s, begin, w = stream(data[off[i] : off[j]], off[i : j + 1] - off[i], depth)
-                key, _ = keys(s, begin, depth)
+                key, symbol_doc = keys(s, begin, depth)
+                del s
                 code, first = K.distinct(key)
                 order = np.argsort(key[first])
                 met, logp = np.zeros(len(first), bool), np.zeros(len(first))
-                met[order], logp[order] = look(have, key[first][order])
-                # tokens are words, and the end after each document's
-                end = w.off[1:] + np.arange(j - i)
-                word = np.arange(len(w.hash)) + w.doc()
-                size = np.ones(len(word) + len(end), np.int64)
-                size[word] += w.end - w.start
-                start = np.cumsum(size) - size
-                doc = np.repeat(np.arange(j - i), w.count + 1)
-                p = np.add.reduceat(logp[code], start)
+                met[order], logp[order] = look(strings_, key[first][order])
                 lost = np.flatnonzero(~met[code])
-                of = np.searchsorted(start, lost, "right") - 1
-                known, n = np.ones(len(size), bool), np.full(len(size), ends, np.int64)
-                known[word], n[word] = look(words, w.hash)
-                hashes = np.zeros(len(size), np.uint64)
-                hashes[word] = w.hash
-                open_ = ~known
-                open_[of] = True
-                some = n > 0
-                done = p + rest
-                done[some] = np.log10(share * n[some] / max(tokens, 1) + (1 - share) * 10.0 ** p[some])
-                is_word = np.zeros(len(size), bool)
-                is_word[word] = True
-                old = is_word & known
-                cols = [w.count + 1, np.bincount(doc, old, j - i).astype(np.int64) + (ends > 0), np.bincount(doc[old], np.log10(n[old] + 1.0), j - i) + base, np.bincount(doc, np.where(open_, 0.0, done), j - i)]
-                place = np.arange(len(size)) - (w.off[:-1] + np.arange(j - i))[doc]
-                o = np.flatnonzero(open_)
-                waiting = lists(doc[o], j - i, tok=pa.array(place[o]), key=pa.array(hashes[o].view(np.int64)), n=pa.array(np.where(known, n, -1)[o]), p=pa.array(p[o]))
-                missing = lists(doc[of], j - i, tok=pa.array(place[of]), key=pa.array(key[lost].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(pa.array(c) for c in cols), waiting, missing], ["doc_id", "n_tokens", "known", "log_c", "score", "waiting", "missing"])
+                doc = w.doc()
+                known, n = look(words_, w.hash)
+                cols = [w.count + 1, np.bincount(doc, known, j - i).astype(np.int64) + (ends > 0), np.bincount(doc[known], np.log10(n[known] + 1.0), j - i) + base, np.bincount(symbol_doc, logp[code], j - i)]
+                open_ = (lists(doc[~known], w.hash[~known], j - i), lists(symbol_doc[lost], key[lost], j - i))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(pa.array(c) for c in cols), *open_], ["doc_id", "n_tokens", "known", "log_c", "score", "words", "strings"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    every = docs.mapInArrow(whole, f"doc_id {kind}, n_tokens long, known long, log_c double, score double, waiting array<struct<tok:long,key:long,n:long,p:double>>, missing array<struct<tok:long,key:long>>")
+    open_ = "array<struct<key:long,times:long>>"
+    every = docs.mapInArrow(whole, f"doc_id {kind}, n_tokens long, known long, log_c double, score double, words {open_}, strings {open_}")
     every = written(every.withColumn("row", F.monotonically_increasing_id()), "op2-scored")
-    # tokens that the broadcast did not settle: a row for the token, and one for each symbol that waits for its probability
-    waiting = every.select("row", F.inline("waiting"))
-    few = found.where(f"kind = 1 and n < {floor} and n > 0").select("key", F.col("n").alias("c"))
-    no = F.lit(0).cast("long")
-    parts = (
-        waiting.where("n >= 0").select("row", "tok", "p", "n", no.alias("late"))
-        .unionByName(waiting.where("n < 0").join(few, "key", "left").select("row", "tok", "p", F.coalesce("c", no).alias("n"), F.coalesce("c", no).alias("late")))
-        .unionByName(every.select("row", F.inline("missing")).join(tree.where(f"m < {bound}").select("key", "logp"), "key").select("row", "tok", F.col("logp").alias("p"), no.alias("n"), no.alias("late")))
-        .groupBy("row", "tok").agg(*(F.sum(c).alias(c) for c in ("p", "n", "late")))
-    )
-    gain = F.when(F.col("n") > 0, F.log10(share * F.col("n") / max(tokens, 1) + (1 - share) * F.pow(F.lit(10.0), F.col("p")))).otherwise(F.col("p") + float(rest))
-    more = parts.groupBy("row").agg(F.sum((F.col("late") > 0).cast("long")).alias("more"), F.sum(F.log10(F.col("late") + 1.0)).alias("more_log"), F.sum(gain).alias("gain"))
-    joined = every.drop("waiting", "missing").join(more, "row", "left")
+    # what the broadcast did not settle: a row for each distinct word and string of a text
+    nothing = F.lit(0.0)
+    late = every.select("row", F.inline("words")).join(words.where(f"n < {floor}"), "key").select("row", F.col("times").alias("known"), (F.col("times") * F.log10(F.col("n") + 1.0)).alias("log_c"), nothing.alias("score"))
+    late = late.unionByName(every.select("row", F.inline("strings")).join(tree.where(f"m < {bound}").select("key", "logp"), "key").select("row", F.lit(0).cast("long").alias("known"), nothing.alias("log_c"), (F.col("times") * F.col("logp")).alias("score")))
+    late = late.groupBy("row").agg(*(F.sum(c).alias(f"more_{c}") for c in ("known", "log_c", "score")))
+    joined = every.drop("words", "strings").join(late, "row", "left")
+    total = {c: F.col(c) + F.coalesce(f"more_{c}", F.lit(0)) for c in ("known", "log_c", "score")}
     return joined.select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("log_c") + F.coalesce("more_log", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(tokens + types + 1))).alias("base_score"), (F.col("score") + F.coalesce("gain", F.lit(0.0))).alias("score"),
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", total["known"].alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
+        (total["log_c"] - F.col("n_tokens") * float(np.log10(tokens + types + 1))).alias("base_score"), total["score"].alias("score"),
     )
 
 
