@@ -42,10 +42,11 @@ DEPTH = 6
 LEAST = 2  # training occurrences of a context
 CUT = 8.0  # log-likelihood ratio from which a context is retained
 HEAD = 1_000_000
-STRINGS = 4_000_000
+STRINGS = 3_000_000
 WEIGHT = 6.0
 END = 10  # the end symbol; no word holds it
-KEPT = 1 << 22  # distinct strings that a task holds before it hands them on
+PART = 1 << 19  # bytes of whole documents handled at once
+KEPT = 1 << 21  # distinct strings that a task holds before it hands them on
 
 
 @dataclass
@@ -80,16 +81,21 @@ def stream(data: np.ndarray, off: np.ndarray, depth: int) -> tuple[np.ndarray, n
     return out, begin, w
 
 
-def keys(s: np.ndarray, begin: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each symbol (padding left out): context, nearest first, then the symbol, in one number; its document."""
-    docs = len(begin) - 1
-    size = np.diff(begin) - depth
-    doc = np.repeat(np.arange(docs), size)
-    at = np.arange(int(size.sum())) + (doc + 1) * depth
-    key = s[at].astype(np.uint64)
+def keys(s: np.ndarray, begin: np.ndarray, depth: int) -> np.ndarray:
+    """Of each symbol (padding left out): context, nearest first, then the symbol, in one number."""
+    key = s[depth:].astype(np.uint64)
     for d in range(1, depth + 1):
-        key |= s[at - d].astype(np.uint64) << np.uint64(8 * (depth + 1 - d))
-    return key, doc
+        far = s[depth - d : len(s) - d].astype(np.uint64)
+        far <<= np.uint64(8 * (depth + 1 - d))
+        key |= far
+    own = np.ones(len(key), bool)
+    own[(begin[1:-1, None] + np.arange(-depth, 0)).ravel()] = False  # the padding of all documents but the first
+    return key[own[: len(key)]]
+
+
+def symbol_docs(begin: np.ndarray, depth: int) -> np.ndarray:
+    """The document of each symbol."""
+    return np.repeat(np.arange(len(begin) - 1), np.diff(begin) - depth)
 
 
 def _merge(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +104,7 @@ def _merge(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
     order = np.argsort(k, kind="stable")
     k, n = k[order], n[order]
     first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
-    return k[first], np.add.reduceat(n, first) if len(first) else n
+    return k[first], np.add.reduceat(n, first, dtype=np.int64) if len(first) else n
 
 
 def counts(docs: DataFrame, depth: int, learn: Column | None = None) -> DataFrame:
@@ -114,19 +120,19 @@ def counts(docs: DataFrame, depth: int, learn: Column | None = None) -> DataFram
         def out(kind: int) -> pa.RecordBatch:
             k, n = _merge(held[kind])
             held[kind] = []
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind % 3, np.int32)), pa.array(k.view(np.int64)), pa.array(n * (kind != 3)), pa.array(n)], ["kind", "key", "n", "m"])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind % 3, np.int32)), pa.array(k.view(np.int64)), pa.array(n * (kind != 3), pa.int64()), pa.array(n, pa.int64())], ["kind", "key", "n", "m"])
 
         for batch in batches:
             learned = pc.fill_null(batch.column(1), False)
             for part, learn in ((batch.filter(learned), True), (batch.filter(pc.invert(learned)), False)):
                 data, off = K.utf8(part.column(0))
                 rows += len(part) * learn
-                for i, j in K.blocks(off, K.BLOCK // 4):
+                for i, j in K.blocks(off, PART):
                     s, begin, w = stream(data[off[i] : off[j]], off[i : j + 1] - off[i], depth)
-                    for kind, k in ((0, keys(s, begin, depth)[0]), (1, w.hash)) if learn else ((3, keys(s, begin, depth)[0]),):
+                    for kind, k in ((0, keys(s, begin, depth)), (1, w.hash)) if learn else ((3, keys(s, begin, depth)),):
                         k = np.sort(k)
                         first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
-                        held[kind].append((k[first], np.diff(np.concatenate([first, [len(k)]]))))
+                        held[kind].append((k[first], np.diff(np.concatenate([first, [len(k)]])).astype(np.int32)))
                         if sum(len(x[0]) for x in held[kind]) > KEPT:
                             held[kind] = [_merge(held[kind])]
                             if len(held[kind][0][0]) > KEPT // 2:
@@ -151,14 +157,15 @@ def _shorter(key: str = "key") -> Column:
 
 def probabilities(strings: DataFrame, depth: int = DEPTH, least: int = LEAST, weight: float = WEIGHT) -> DataFrame:
     """key, m and logp: log10 probability of each symbol string (key, n, m) in its longest retained state; the tree is never gathered."""
+    # by depth, with `up`: how often the string without its farthest symbol was seen, a row of the level below
     levels = [strings.select("key", "n")]
-    for _ in range(depth):
-        levels.insert(0, written(levels[0].select(_shorter().alias("key"), "n").groupBy("key").agg(F.sum("n").alias("n")), f"op2-depth{depth - len(levels)}"))
+    for d in range(depth, 0, -1):
+        levels[0] = written(levels[0].withColumn("short", _shorter()).withColumn("up", F.sum("n").over(Window.partitionBy("short"))), f"op2-depth{d}")
+        levels.insert(0, levels[0].select(F.col("short").alias("key"), F.col("up").alias("n")).distinct())
     kept: list[DataFrame] = []  # by depth, from the longest: retained contexts and how often they were seen
     for d in range(depth, 0, -1):
         n = F.col("n")
-        level = levels[d].withColumn("up", F.sum("n").over(Window.partitionBy(_shorter())))  # what follows the shorter context, over all that lengthen it
-        size = level.groupBy(_context().alias("c")).agg(F.sum("n").alias("size"), F.sum(F.when(n > 0, n * F.log(n / F.col("up"))).otherwise(0.0)).alias("t"))
+        size = levels[d].groupBy(_context().alias("c")).agg(F.sum("n").alias("size"), F.sum(F.when(n > 0, n * F.log(n / F.col("up"))).otherwise(0.0)).alias("t"))
         size = size.withColumn("up", F.sum("size").over(Window.partitionBy(_context("c")))).where(F.col("size") >= max(1, least))
         passes = F.col("t") - F.col("size") * F.log(F.col("size") / F.col("up")) >= CUT
         if kept:
@@ -169,7 +176,7 @@ def probabilities(strings: DataFrame, depth: int = DEPTH, least: int = LEAST, we
     total = levels[0].agg(F.sum("n")).first()[0] or 0
     p = levels[0].select("key", ((F.col("n") + 0.5) / float(total + 128)).alias("p"))
     for d in range(1, depth + 1):
-        level = (levels[d] if d < depth else strings.select("key", "n", "m")).withColumn("short", _shorter()).withColumn("c", _context())
+        level = (levels[d] if d < depth else strings.select("key", "n", "m").withColumn("short", _shorter())).withColumn("c", _context())
         level = level.join(p.withColumnRenamed("key", "short"), "short").join(kept[d - 1], "c", "left")
         own = F.when(F.col("size").isNull(), F.col("p")).otherwise((F.col("n") + weight * F.col("p")) / (F.col("size") + weight))
         p = written(level.select("key", *["m"] * (d == depth), (F.log10(own) if d == depth else own).alias("logp" if d == depth else "p")), f"op2-smooth{d}")
@@ -266,7 +273,7 @@ def token_scores(tree: Tree, data: np.ndarray, off: np.ndarray) -> tuple[K.Words
     """The words; log10 probability of each word with its blank; of each document's end."""
     depth = len(tree.contexts)
     s, begin, w = stream(data, off, depth)
-    key, _ = keys(s, begin, depth)
+    key = keys(s, begin, depth)
     code, first = K.distinct(key)
     u = key[first]
     order = np.argsort(u)
@@ -295,6 +302,8 @@ def _floor(table: DataFrame, count: str, most: int) -> int:
 
 def scores(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, head: int = HEAD, strings: int = STRINGS) -> DataFrame:
     """The contract's columns for every row of docs (doc_id, text)."""
+    if not 0 < depth <= 6:
+        raise ValueError("a string of depth + 1 bytes and a document's number in its block share 64 bits")
     docs = docs.select(F.col("doc_id"), F.col("text"))
     found = written(counts(docs, depth, ~held_out(F.col("doc_id"))), "op2-counts")
     sums = {r["kind"]: r for r in found.groupBy("kind").agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.count("*").alias("v")).collect()}
@@ -322,33 +331,51 @@ def scores(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, head: int =
         known = have[0][at] == key
         return known, np.where(known, have[1][at], 0)
 
-    def lists(doc: np.ndarray, key: np.ndarray, docs: int) -> pa.Array:
+    def lists(doc: np.ndarray, key: np.ndarray, times: np.ndarray, docs: int) -> pa.Array:
         """Of each document, its distinct keys and how often it has them."""
-        order = np.lexsort((key, doc))
-        doc, key = doc[order], key[order]
-        first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])) if len(key) else np.zeros(0, np.int64)
-        times = np.diff(np.concatenate([first, [len(key)]]))
-        pairs = pa.StructArray.from_arrays([pa.array(key[first].view(np.int64)), pa.array(times)], ["key", "times"])
-        return pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[first], np.arange(docs + 1)).astype(np.int32)), pairs)
+        order = np.argsort(doc, kind="stable")
+        pairs = pa.StructArray.from_arrays([pa.array(key[order].view(np.int64)), pa.array(times[order], pa.int64())], ["key", "times"])
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[order], np.arange(docs + 1)).astype(np.int32)), pairs)
+
+    def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the runs of equal values of x begin, and their lengths."""
+        first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+        return first, np.diff(np.concatenate([first, [len(x)]]))
+
+    def some(off: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Blocks of at most 256 documents, whose numbers fit a byte beside a string's key."""
+        for i, j in K.blocks(off, PART):
+            for k in range(i, j, 256):
+                yield k, min(j, k + 256)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         strings_, words_ = shipped.value
         for batch in batches:
             data, off = K.utf8(batch.column(1))
-            for i, j in K.blocks(off, K.BLOCK // 4):
+            for i, j in some(off):
                 s, begin, w = stream(data[off[i] : off[j]], off[i : j + 1] - off[i], depth)
-                key, symbol_doc = keys(s, begin, depth)
+                key = keys(s, begin, depth) << np.uint64(8)
+                key |= symbol_docs(begin, depth).astype(np.uint64)
                 del s
-                code, first = K.distinct(key)
-                order = np.argsort(key[first])
-                met, logp = np.zeros(len(first), bool), np.zeros(len(first))
-                met[order], logp[order] = look(strings_, key[first][order])
-                lost = np.flatnonzero(~met[code])
+                key.sort()
+                first, times = runs(key)  # each document's distinct strings, by string
+                key = key[first]
+                owner = (key & np.uint64(255)).astype(np.int64)
+                key >>= np.uint64(8)
+                first, alike = runs(key)
+                met, logp = (np.repeat(x, alike) for x in look(strings_, key[first]))
+                cols = [w.count + 1, np.full(j - i, ends > 0, np.int64), np.full(j - i, base), np.bincount(owner, logp * times, j - i)]
+                lost = np.flatnonzero(~met)
+                missing = lists(owner[lost], key[lost], times[lost], j - i)
                 doc = w.doc()
                 known, n = look(words_, w.hash)
-                cols = [w.count + 1, np.bincount(doc, known, j - i).astype(np.int64) + (ends > 0), np.bincount(doc[known], np.log10(n[known] + 1.0), j - i) + base, np.bincount(symbol_doc, logp[code], j - i)]
-                open_ = (lists(doc[~known], w.hash[~known], j - i), lists(symbol_doc[lost], key[lost], j - i))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(pa.array(c) for c in cols), *open_], ["doc_id", "n_tokens", "known", "log_c", "score", "words", "strings"])
+                cols[1] += np.bincount(doc[known], minlength=j - i)
+                cols[2] += np.bincount(doc[known], np.log10(n[known] + 1.0), j - i)
+                order = np.lexsort((w.hash[~known], doc[~known]))
+                rare, doc = w.hash[~known][order], doc[~known][order]
+                first = np.flatnonzero(np.concatenate([[True], (rare[1:] != rare[:-1]) | (doc[1:] != doc[:-1])])) if len(rare) else np.zeros(0, np.int64)
+                times = np.diff(np.concatenate([first, [len(rare)]]))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(pa.array(c) for c in cols), lists(doc[first], rare[first], times, j - i), missing], ["doc_id", "n_tokens", "known", "log_c", "score", "words", "strings"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     open_ = "array<struct<key:long,times:long>>"

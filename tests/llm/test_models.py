@@ -225,18 +225,6 @@ def test_licences_in_long_and_wrapped_texts(spark):
     assert got["b/y.txt"][0] == "Apache-2.0" and got["d/w.py"][0] == "MIT" and got["c/z.py"] == (None, "none", None)
 
 
-def test_suffix_tree_scores_some_words_as_all():
-    rng = np.random.default_rng(7)
-    texts = ["", "one two  three " * 3, "x", " ".join("".join(rng.choice(list("abc"), rng.integers(1, 6))) for _ in range(200)), "Ünï 漢字"]
-    data, off = buffers(texts)
-    c = [np.unique(rng.integers(97, 100, 3)).astype(np.uint64), np.array([(97 << 8) | 98, (98 << 8) | 97], np.uint64)]
-    entries = [np.sort((x << np.uint64(8)) | np.uint64(97)) for x in c]
-    tree = suffixtree.Tree(c, [np.full(len(x), -0.5) for x in c], entries, [np.full(len(x), -0.2) for x in c], np.log10(np.full(256, 1 / 256)))
-    w, p, _ = suffixtree.token_scores(tree, data, off)
-    for pick in (rng.random(len(p)) < 0.4, np.zeros(len(p), bool), np.ones(len(p), bool)):
-        _, got, some = suffixtree.word_scores(tree, data, off, lambda w, pick=pick: pick)
-        assert (got == pick).all() and (some == p[pick]).all()
-
 
 def test_licences_of_headings_tags_blocks_and_whole_files(spark):
     header = "/*\n * " + licences.TEXTS[3][1].replace("\n", "\n * ") + "\n */\n"
