@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
+from .store import bounded_batches
 
 FIELDS = "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
 BITS = 22
@@ -94,6 +95,7 @@ def _spans(hit: np.ndarray, w: K.Words, off: np.ndarray, d: int) -> list[dict]:
 
 def hits(docs: DataFrame, benchmark: DataFrame, n: int = 13, most_words: int = MOST_WORDS) -> DataFrame:
     """docs' rows with n_words, n_hit, items (string item_ids, sorted) and spans (byte ranges hit)."""
+    bounded_batches(docs.sparkSession)
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     size = items.agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).first()
     if (size.b or 0) // 2 + size.n <= most_words:  # a word and what parts it from the next are two bytes at least

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
+from .store import bounded_batches
 
 BUCKETS = 1 << 16
 FIT_ROWS = 8_000  # of each language
@@ -84,6 +85,7 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, learn: Column | None = None) -> Model:
     """Learn from rows with a language for which `learn` holds (all but the held-out third, unless given)."""
+    bounded_batches(docs.sparkSession)
     learn = ~held_out(F.col("doc_id")) if learn is None else learn
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & learn)
     have = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from . import kernel as K
-from .store import written
+from .store import bounded_batches, written
 
 SIZE = 3
 BANDS = 25
@@ -145,6 +145,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
+    bounded_batches(docs.sparkSession)
     a = written(sketch(docs, size, bands, rows), "op7-sketch")
     classes = written(a.where("n_shingles > 0").groupBy("g1", "g2", "n_shingles").agg(F.min("doc_id").alias("id"), F.min_by("bands", F.xxhash64("bands")).alias("bands")).where("id is not null"), "op7-classes")
     members = classes.select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))

@@ -11,6 +11,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: str | None = None
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession, most: str = "8m") -> None:
+    """Hand Python batches of at most `most` bytes (or one longer row), unless the session has set a bound of its own."""
+    if spark.conf.get(BATCH_BYTES) == "67108864b":  # the default
+        spark.conf.set(BATCH_BYTES, most)
 
 
 def shared_folder(spark: SparkSession) -> str:

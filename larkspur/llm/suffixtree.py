@@ -36,17 +36,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .store import written
+from .store import bounded_batches, written
 
-DEPTH = 6
+DEPTH = 5
 LEAST = 2  # training occurrences of a context
 CUT = 8.0  # log-likelihood ratio from which a context is retained
-HEAD = 1_000_000
-STRINGS = 3_000_000
+HEAD = 500_000
+STRINGS = 2_000_000
 WEIGHT = 6.0
 END = 10  # the end symbol; no word holds it
 PART = 1 << 19  # bytes of whole documents handled at once
-KEPT = 1 << 21  # distinct strings that a task holds before it hands them on
+KEPT = 1 << 20  # distinct strings that a task holds before it hands them on
 
 
 @dataclass
@@ -135,7 +135,7 @@ def counts(docs: DataFrame, depth: int, learn: Column | None = None) -> DataFram
                         held[kind].append((k[first], np.diff(np.concatenate([first, [len(k)]])).astype(np.int32)))
                         if sum(len(x[0]) for x in held[kind]) > KEPT:
                             held[kind] = [_merge(held[kind])]
-                            if len(held[kind][0][0]) > KEPT // 2:
+                            if len(held[kind][0][0]) > 3 * KEPT // 4:
                                 yield out(kind)
         for kind in held:
             if held[kind]:
@@ -304,6 +304,7 @@ def scores(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, head: int =
     """The contract's columns for every row of docs (doc_id, text)."""
     if not 0 < depth <= 6:
         raise ValueError("a string of depth + 1 bytes and a document's number in its block share 64 bits")
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id"), F.col("text"))
     found = written(counts(docs, depth, ~held_out(F.col("doc_id"))), "op2-counts")
     sums = {r["kind"]: r for r in found.groupBy("kind").agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.count("*").alias("v")).collect()}

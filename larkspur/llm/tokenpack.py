@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
+from .store import bounded_batches
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 CAPACITY = 2048
@@ -210,6 +211,7 @@ def best_fit_decreasing(sizes: list[int], capacity: int) -> list[list[int]]:
 
 def packed(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY, group_tokens: int = GROUP_TOKENS) -> DataFrame:
     """One row per row of the matrix: doc_ids and parts of its segments, cu_seqlens, ids (little-endian, 2 or 4 bytes each)."""
+    bounded_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(ranks(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .store import written
+from .store import bounded_batches, written
 
 FIT_ROWS = 10_000  # of each class
 FIT_BYTES = 128 << 20
@@ -184,6 +184,7 @@ def interpolated(pair: np.ndarray, v: np.ndarray, w: np.ndarray, stem: np.ndarra
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> Model | None:
+    bounded_batches(docs.sparkSession)
     sample = written(_sample(docs, labels, fit_rows, fit_bytes), "op3-sample")
     t = _counts(sample.where("fold > 0")).toArrow()
     n = np.stack([t.column(c).to_numpy().astype(float) for c in ("n0", "n1")], 1)
