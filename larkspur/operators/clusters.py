@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .graph import connected_components
+from .graph import _checkpointed, connected_components
 
 
 def relabel(items: DataFrame, edges: DataFrame) -> DataFrame:
@@ -61,13 +61,72 @@ def promote(candidates: DataFrame) -> DataFrame:
 
 
 def same_grant(items: DataFrame) -> DataFrame:
-    """Clusters that meet in a grant of one organisation under one family name and initial, unless their ORCIDs differ."""
-    of = items.groupBy("cluster").agg(F.min("orcid").alias("lo"), F.max("orcid").alias("hi"))
-    met = items.where("single_org and name_key is not null").select("grant", "name_key", "cluster").distinct().join(of, "cluster")
-    groups = met.groupBy("grant", "name_key").agg(F.min("cluster").alias("a"), F.min("lo").alias("l"), F.max("hi").alias("h")).where("l is null or l = h")
+    """Clusters that meet in a grant of one organisation under one family name and initial, unless their sets of ORCIDs differ."""
+    of = items.groupBy("cluster").agg(F.array_join(F.array_sort(F.collect_set("orcid")), " ").alias("_set"))
+    met = items.where("single_org and name_key is not null").select("grant", "name_key", "cluster").distinct().join(of, "cluster").withColumn("_set", F.nullif("_set", F.lit("")))
+    groups = met.groupBy("grant", "name_key").agg(F.min("cluster").alias("a"), F.min("_set").alias("l"), F.max("_set").alias("h")).where("l is null or l = h")
     return relabel(items, met.join(groups, ["grant", "name_key"]).where("a <> cluster").select("a", F.col("cluster").alias("b")))
 
 
+def split_names(items: DataFrame) -> DataFrame:
+    """A cluster without exactly one ORCID falls apart by its full first names (over two letters).
+
+    Two full names of a cluster stay together unless they have different ORCIDs, or share neither a
+    co-investigator nor a field; what stays together does so through any chain. Items with an initial
+    only go to the first part, by its smallest uid, that shares a field with them, else alone. items
+    also has first, others (co-investigators) and field_tokens, both arrays.
+    """
+    empty = F.array().cast("array<string>")
+    gather = lambda c: F.array_distinct(F.flatten(F.collect_list(F.coalesce(c, empty))))
+    orcids = items.groupBy("cluster").agg(F.countDistinct("orcid").alias("_k")).where("_k <> 1").select("cluster")
+    named = items.join(orcids, "cluster", "left_semi").withColumn("_form", F.when(F.length("first") > 2, F.lower("first")))
+    forms = named.where("_form is not null").groupBy("cluster", "_form").agg(F.min("uid").alias("id"), F.collect_set("orcid").alias("orcids"), gather("others").alias("others"), gather("field_tokens").alias("fields"))
+    forms = forms.withColumn("_n", F.count("*").over(Window.partitionBy("cluster"))).where("_n > 1").drop("_n")
+    x, y = forms.alias("x"), forms.alias("y")
+    differ = (F.size("x.orcids") > 0) & (F.size("y.orcids") > 0) & ~F.arrays_overlap("x.orcids", "y.orcids")
+    strange = ~F.arrays_overlap("x.others", "y.others") & ~F.arrays_overlap("x.fields", "y.fields")
+    together = x.join(y, (F.col("x.cluster") == F.col("y.cluster")) & (F.col("x.id") < F.col("y.id"))).where(~(differ | strange)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    part = forms.join(connected_components(together), F.col("id") == F.col("node"), "left").select("cluster", "_form", F.coalesce("component", "id").alias("_part"), "fields")
+    parts = part.groupBy("cluster", F.col("_part").alias("part")).agg(F.array_distinct(F.flatten(F.collect_list("fields"))).alias("fields"))
+    short = named.where("_form is null").join(parts, "cluster").where(F.arrays_overlap("fields", F.coalesce("field_tokens", empty))).groupBy("uid").agg(F.min("part").alias("_home"))
+    split = part.select("cluster").distinct().withColumn("_split", F.lit(True))
+    got = items.withColumn("_form", F.when(F.length("first") > 2, F.lower("first"))).join(split, "cluster", "left").join(part.select("cluster", "_form", "_part"), ["cluster", "_form"], "left").join(short, "uid", "left")
+    return got.withColumn("cluster", F.when(F.col("_split"), F.coalesce("_part", "_home", "uid")).otherwise(F.col("cluster"))).select(items.columns)
+
+
+def overwrite_orcids(items: DataFrame, manual: DataFrame) -> DataFrame:
+    """items with the ORCID that manual (cluster, orcid) gives their cluster, where it lists it."""
+    new = manual.select("cluster", F.col("orcid").alias("_new"))
+    return items.join(new, "cluster", "left").withColumn("orcid", F.coalesce("_new", "orcid")).select(items.columns)
+
+
+def merge_enriched(items: DataFrame) -> DataFrame:
+    """Clusters that share an ORCID become one, unless some of them has an initial (of first) that the smallest of them lacks."""
+    initials = items.groupBy("cluster").agg(F.collect_set(F.lower(F.substring("first", 1, 1))).alias("_initials"))
+    held = items.where("orcid is not null").select("orcid", "cluster").distinct().join(initials, "cluster")
+    low = held.groupBy("orcid").agg(F.min_by("_initials", "cluster").alias("_own"), F.min("cluster").alias("a"))
+    met = held.join(low, "orcid")
+    strange = (F.size("_initials") > 0) & (F.size("_own") > 0) & ~F.arrays_overlap("_initials", "_own")
+    clean = met.groupBy("orcid").agg(F.bool_or(strange).alias("_bad")).where("not _bad").select("orcid")
+    return relabel(items, met.join(clean, "orcid", "left_semi").where("a <> cluster").select("a", F.col("cluster").alias("b")))
+
+
+def merge_manually(items: DataFrame, merges: DataFrame) -> DataFrame:
+    """merges: keep, drop, chains of any length; a merge whose dropped cluster has no items does nothing, and the kept end of a chain names the result."""
+    there = items.select(F.col("cluster").alias("drop")).distinct()
+    live = merges.where("keep <> drop").join(there, "drop", "left_semi").select("keep", "drop").distinct()
+    group = connected_components(live.select(F.col("keep").alias("a"), F.col("drop").alias("b")))
+    ends = group.join(live.select(F.col("drop").alias("node")).distinct(), "node", "left_anti").groupBy("component").agg(F.min("node").alias("_end"))
+    name = group.join(ends, "component").select(F.col("node").alias("cluster"), "_end")
+    return items.join(name, "cluster", "left").withColumn("cluster", F.coalesce("_end", "cluster")).select(items.columns)
+
+
+def carry(items: DataFrame, events: DataFrame) -> DataFrame:
+    """Clusters aggregated anew from their items, with the provenance of all that went into them: events (uid, seq, event) in order."""
+    told = items.select("uid", "cluster").join(events, "uid").groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "uid", "event"))), lambda x: x["event"]).alias("events"))
+    return aggregate(items).join(told, "cluster", "left").withColumn("events", F.coalesce("events", F.array().cast("array<string>")))
+
+
 def set_aside(clusters: DataFrame, prefix: str = "45") -> tuple[DataFrame, DataFrame]:
     """Clusters with a primary code of the division, and the others without their codes of it."""
     inside = F.coalesce(F.exists("primary_codes", lambda c: c.startswith(prefix)), F.lit(False))
@@ -90,6 +149,50 @@ def aggregate(items: DataFrame) -> DataFrame:
     return out.withColumn("orcid_status", F.when(many == 0, "NO_ORCID").when(many == 1, "HAS_ORCID").otherwise("MULTI_ORCID"))
 
 
-def refine(items: DataFrame) -> DataFrame:
-    """The automatic steps in their order: merge by ORCID, split conflicts, merge single-organisation grants."""
-    return same_grant(split_conflicts(merge_by(items, "orcid")))
+def refine(items: DataFrame, splits: DataFrame | None = None, found: DataFrame | None = None, candidates: DataFrame | None = None, manual: DataFrame | None = None, merges: DataFrame | None = None) -> DataFrame:
+    """All ten steps in their order; a step whose table is not given does nothing.
+
+    Merge by ORCID; split ORCID conflicts; split several full names; split manually; enrich; promote;
+    overwrite ORCIDs; merge by the new ORCIDs; merge manually; merge single-organisation grants. Each
+    step's items are checkpointed, as the next one reads them several times.
+    """
+    named = {"first", "others", "field_tokens"} <= set(items.columns)
+
+    def promoted(x: DataFrame) -> DataFrame:
+        none = x.groupBy("cluster").agg(F.max("orcid").alias("o")).where("o is null").select("cluster")
+        return overwrite_orcids(x, promote(candidates.join(none, "cluster", "left_semi")).select("cluster", "orcid"))
+
+    steps = [
+        (True, lambda x: merge_by(x, "orcid")), (True, split_conflicts), (named, split_names), (splits is not None, lambda x: split_manually(x, splits)), (found is not None, lambda x: overwrite_orcids(x, enrich(x, found))),
+        (candidates is not None, promoted), (manual is not None, lambda x: overwrite_orcids(x, manual)), ("first" in items.columns, merge_enriched), (merges is not None, lambda x: merge_manually(x, merges)), (True, same_grant),
+    ]
+    for wanted, step in steps:
+        if wanted:
+            items = _checkpointed(step(items))
+    return items
+
+
+def gap_candidates(people: DataFrame, block: tuple[str, ...] = ("family",)) -> DataFrame:
+    """a, b: pairs of one family name whose first names go together either way and that share a field, but no ORCID conflict.
+
+    people: uid, family, firsts, fields, orcids (arrays). Pairs meet by family name and a first initial
+    that both have, so that a common name's people are dealt by their initials.
+    """
+    from ..functions.similarity import first_names_compatible
+
+    one = people.withColumn("_initial", F.explode(F.array_distinct(F.transform("firsts", lambda x: F.substring(x, 1, 1)))))
+    x, y = one.alias("x"), one.alias("y")
+    same = F.lit(True)
+    for c in (*block, "_initial"):
+        same = same & (F.col(f"x.{c}") == F.col(f"y.{c}"))
+    fits = first_names_compatible(F.col("x.firsts"), F.col("y.firsts")) & F.arrays_overlap("x.fields", "y.fields")
+    conflict = (F.size("x.orcids") > 0) & (F.size("y.orcids") > 0) & ~F.arrays_overlap("x.orcids", "y.orcids")
+    return x.join(y, same & (F.col("x.uid") < F.col("y.uid"))).where(fits & ~conflict).select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b")).distinct()
+
+
+def overlapping_awards(awards: DataFrame) -> DataFrame:
+    """cluster, child, status: a cluster whose fellowships (cluster, grant, start, end) overlap falls into one child for each, and is itself SPLIT."""
+    x, y = awards.alias("x"), awards.alias("y")
+    met = (F.col("x.cluster") == F.col("y.cluster")) & (F.col("x.grant") < F.col("y.grant")) & (F.col("x.start") < F.col("y.end")) & (F.col("y.start") < F.col("x.end"))
+    split = x.join(y, met).select(F.col("x.cluster").alias("cluster")).distinct()
+    return awards.join(split.withColumn("_split", F.lit(True)), "cluster", "left").select("cluster", F.when(F.col("_split"), F.concat_ws("_", "cluster", "grant")).otherwise(F.col("cluster").cast("string")).alias("child"), F.when(F.col("_split"), "SPLIT").otherwise("WHOLE").alias("status")).distinct()

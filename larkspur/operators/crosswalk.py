@@ -31,3 +31,23 @@ def names_of(codes: DataFrame, concordance: DataFrame, key: str, code: str = "co
 def mismatch(codes: Column) -> Column:
     """Whether an array of codes spans several divisions (two digits)."""
     return F.size(F.array_distinct(F.transform(codes, lambda c: F.substring(c, 1, 2)))) >= 2
+
+
+def division_mismatch(codes: Column, fields: Column, allowed: Column) -> Column:
+    """Over one field and several divisions, of which not every pair ('30-31', the smaller first) is allowed."""
+    divisions = F.array_sort(F.array_distinct(F.transform(codes, lambda c: F.substring(c, 1, 2))))
+    pairs = F.flatten(F.transform(divisions, lambda a: F.transform(F.filter(divisions, lambda b: a < b), lambda b: F.concat_ws("-", a, b))))
+    return (F.size(F.array_distinct(fields)) > 1) & (F.size(divisions) >= 2) & ~F.forall(pairs, lambda p: F.array_contains(allowed, p))
+
+
+def suspicious(n_grants: Column, tf: Column, mismatched: Column, common: float = 1e-5) -> Column:
+    """Several grants under a common name across divisions that don't go together; a name of unknown frequency is rare."""
+    return (n_grants > 1) & (F.coalesce(tf, F.lit(0.0)) >= common) & F.coalesce(mismatched, F.lit(False))
+
+
+def panel(rows: DataFrame, groups: DataFrame, divisions: DataFrame, code: str = "code") -> DataFrame:
+    """rows with panel: by the code's group (four digits), else by its division (two), else (unmapped)."""
+    by_group = groups.select(F.col("group").alias("_g"), F.col("panel").alias("_gp"))
+    by_division = divisions.select(F.col("division").alias("_d"), F.col("panel").alias("_dp"))
+    got = rows.join(by_group, F.substring(code, 1, 4) == F.col("_g"), "left").join(by_division, F.substring(code, 1, 2) == F.col("_d"), "left")
+    return got.withColumn("panel", F.coalesce("_gp", "_dp", F.lit("(unmapped)"))).drop("_g", "_gp", "_d", "_dp")

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graph import connected_components
+
 
 def candidates(left: DataFrame, right: DataFrame, rules: list[list[str]], uid: str = "uid", dedupe: bool = True) -> DataFrame:
     """Pairs (l, r structs) that agree on all columns of some rule, each pair once: a rule leaves out pairs of earlier ones."""
@@ -40,8 +42,14 @@ def patterns(pairs: DataFrame, levels: dict[str, Column]) -> DataFrame:
     return pairs.select(*[v.alias(k) for k, v in levels.items()]).groupBy(*levels).agg(F.count("*").alias("n"))
 
 
-def em(rows: list[dict], names: list[str], u: dict[str, dict[int, float]], prior: float, rounds: int = 25) -> tuple[float, dict[str, dict[int, float]]]:
-    """m probabilities and the match share from vector counts, with u fixed."""
+def em(rows: list[dict], names: list[str], u: dict[str, dict[int, float]], prior: float, rounds: int = 25, fixed: dict[str, dict[int, float]] | None = None) -> tuple[float, dict[str, dict[int, float]]]:
+    """m probabilities and the match share from vector counts, with u fixed.
+
+    Comparisons in `fixed` keep the m given there and take no part in the training: those of columns that
+    the pairs were blocked on.
+    """
+    fixed = fixed or {}
+    given, names = names, [c for c in names if c not in fixed]
     m = {c: {k: 0.9 if k == max(u[c]) else 0.1 / max(1, len(u[c]) - 1) for k in u[c]} for c in names}
     for _ in range(rounds):
         acc = {c: dict.fromkeys(u[c], 1e-9) for c in names}
@@ -60,15 +68,78 @@ def em(rows: list[dict], names: list[str], u: dict[str, dict[int, float]], prior
                     acc[c][r[c]] += p * r["n"]
         prior = min(0.999, max(1e-9, match / max(total, 1)))
         m = {c: {k: v / sum(acc[c].values()) for k, v in acc[c].items()} for c in names}
-    return prior, m
+    return prior, {c: fixed.get(c) or m[c] for c in given}
+
+
+def shared_level(a: Column, b: Column, *least: int) -> Column:
+    """For arrays: len(least) if they share at least least[0] elements, and so on down; -1 if either is null or empty."""
+    n = F.size(F.array_intersect(a, b))
+    return level(F.coalesce(F.size(a), F.lit(0)).isin(0, -1) | F.coalesce(F.size(b), F.lit(0)).isin(0, -1), *[n >= k for k in least])
+
+
+def given_name_level(a: str = "l", b: str = "r") -> Column:
+    """Seven levels of first, middle and compound: compound; first; first against middle, either way; both initials; first initial of a bare one; first initial; else."""
+    c = lambda side, name: F.col(f"{side}.{name}")
+    initial = lambda side, name: F.substring(c(side, name), 1, 1)
+    cross = (c(a, "first") == c(b, "middle")) | (c(a, "middle") == c(b, "first"))
+    firsts = initial(a, "first") == initial(b, "first")
+    bare = (F.length(c(a, "first")) == 1) | (F.length(c(b, "first")) == 1)
+    return level(
+        c(a, "first").isNull() | c(b, "first").isNull(), (c(a, "middle").isNotNull()) & (c(a, "compound") == c(b, "compound")), c(a, "first") == c(b, "first"), F.coalesce(cross, F.lit(False)),
+        F.coalesce(firsts & bare & (initial(a, "middle") == initial(b, "middle")), F.lit(False)), firsts & bare, firsts,
+    )
+
+
+def with_frequencies(people: DataFrame, columns: list[str]) -> DataFrame:
+    """people with tf_<column>: the share of non-null values that equal theirs."""
+    for c in columns:
+        counts = people.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("_n"))
+        total = people.agg(F.count(c)).first()[0]
+        people = people.join(counts, c, "left").withColumn(f"tf_{c}", F.col("_n") / float(max(1, total))).drop("_n")
+    return people
 
 
-def score(pairs: DataFrame, levels: dict[str, Column], m: dict[str, dict[int, float]], u: dict[str, dict[int, float]], prior: float) -> DataFrame:
-    """pairs with weight (log2 odds) and probability."""
+def estimate_u(people: DataFrame, levels: dict[str, Column], kinds: dict[str, list[int]], most: int = 1_000_000, seed: int = 42, uid: str = "uid") -> dict[str, dict[int, float]]:
+    """Shares of each level among about `most` pairs taken at random: rows meet in random blocks, so no cross join is made."""
+    n = people.count()
+    blocks = max(1, n * n // (2 * most))
+    block = people.withColumn("_block", F.pmod(F.xxhash64(F.col(uid), F.lit(seed)), F.lit(blocks)))
+    rows = [r.asDict() for r in patterns(candidates(block, block, [["_block"]], uid), levels).collect()]
+    out = {}
+    for c, of in kinds.items():
+        count = {k: sum(r["n"] for r in rows if r[c] == k) + 0.5 for k in of}
+        out[c] = {k: v / sum(count.values()) for k, v in count.items()}
+    return out
+
+
+def prior_from_rule(people: DataFrame, rule: list[str], recall: float = 0.8) -> float:
+    """The share of matches among all pairs, if the pairs that agree on the rule are matches and `recall` of them all."""
+    n = people.count()
+    sizes = people.dropna(subset=rule).groupBy(*rule).agg(F.count("*").alias("k"))
+    pairs = sizes.agg(F.sum(F.col("k") * (F.col("k") - 1) / 2).alias("p")).first()["p"] or 0.0
+    return min(0.99, max(1e-9, pairs / recall / max(1.0, n * (n - 1) / 2)))
+
+
+def score(pairs: DataFrame, levels: dict[str, Column], m: dict[str, dict[int, float]], u: dict[str, dict[int, float]], prior: float, tf: dict[str, tuple[str, int, float]] | None = None) -> DataFrame:
+    """pairs with weight (log2 odds) and probability.
+
+    tf: comparison to (column, level, share): at that exact level the weight also gets share * log2(u / the larger
+    of the two sides' tf_<column>), so that agreeing on a common value says less.
+    """
     weight: Column = F.lit(math.log2(prior / (1 - prior)))
     for c, expr in levels.items():
         by = F.lit(0.0)
         for k in u[c]:
-            by = F.when(expr == k, F.lit(math.log2(m[c][k] / u[c][k]))).otherwise(by)
+            gain = F.lit(math.log2(m[c][k] / u[c][k]))
+            if tf and c in tf and tf[c][1] == k:
+                column, _, share = tf[c]
+                gain = gain + share * F.log2(F.lit(u[c][k]) / F.greatest(F.col(f"l.tf_{column}"), F.col(f"r.tf_{column}")))
+            by = F.when(expr == k, gain).otherwise(by)
         weight = weight + by
     return pairs.withColumn("weight", weight).withColumn("probability", F.lit(1.0) / (1 + F.pow(F.lit(2.0), -F.col("weight"))))
+
+
+def clustered(people: DataFrame, scored: DataFrame, least: float = 0.9, uid: str = "uid") -> DataFrame:
+    """uid and cluster, the smallest uid that links of at least `least` lead to."""
+    links = scored.where(F.col("probability") >= least).select(F.col(f"l.{uid}").alias("a"), F.col(f"r.{uid}").alias("b"))
+    return people.select(uid).join(connected_components(links), F.col(uid) == F.col("node"), "left").select(uid, F.coalesce("component", uid).alias("cluster"))

@@ -85,3 +85,50 @@ def keyword_assist(scores: DataFrame, least: float = 0.10, gap: float = 0.08) ->
     w = _arc().orderBy(F.col("score").desc(), "oax")
     ranked = scores.withColumn("rk", F.row_number().over(w)).withColumn("second", F.coalesce(F.lead("score").over(w), F.lit(0.0)))
     return ranked.where((F.col("rk") == 1) & (F.col("score") >= least) & (F.col("score") - F.col("second") >= gap)).select("arc", "oax", "score")
+
+
+def with_certain(links: DataFrame, same_orcid: DataFrame) -> DataFrame:
+    """links (arc, oax, p) and the pairs of one ORCID that they lack, at probability 1."""
+    more = same_orcid.select("arc", "oax").distinct().join(links, ["arc", "oax"], "left_anti").withColumn("p", F.lit(1.0))
+    return links.unionByName(more.select("arc", "oax", "p"))
+
+
+def candidates(links: DataFrame, least: float = 0.5) -> DataFrame:
+    """arc and the sorted authors that reach the least probability."""
+    return links.where(F.col("p") >= least).groupBy("arc").agg(F.array_sort(F.collect_set("oax")).alias("candidates"))
+
+
+def dedupe_candidates(links: DataFrame, unlinked: DataFrame | None = None, dominant: float = DOMINANT) -> DataFrame:
+    """links (arc, oax, works, orcid, topics, name) without those that another of the same person stands for.
+
+    Unlinked pairs go. Of links with one ORCID, one with over `dominant` of their works stays alone. Of links that
+    share a topic and a name, those with the most works stay; a link with an ORCID is not dropped by topic.
+    """
+    if unlinked is not None:
+        links = links.join(unlinked.select("arc", "oax"), ["arc", "oax"], "left_anti")
+    own = Window.partitionBy("arc", "orcid")
+    top = F.max("works").over(own)
+    links = links.withColumn("_gone", F.col("orcid").isNotNull() & (top > dominant * F.sum("works").over(own)) & (F.col("works") < top)).where("not _gone").drop("_gone")
+    each = links.where("orcid is null").select("arc", "oax", "works", "name", F.explode(F.array_distinct("topics")).alias("topic"))
+    every = links.select("arc", "oax", "works", "name", F.explode(F.array_distinct("topics")).alias("topic"))
+    best = every.groupBy("arc", "topic", "name").agg(F.max(F.struct("works", -F.col("oax"))).alias("_best"))
+    gone = each.join(best, ["arc", "topic", "name"]).where(F.struct("works", -F.col("oax")) < F.col("_best")).select("arc", "oax").distinct()
+    return links.join(gone, ["arc", "oax"], "left_anti")
+
+
+def by_hand(resolved_rows: DataFrame, chosen: DataFrame, unlinked: DataFrame) -> DataFrame:
+    """resolved rows (arc, oax, resolved_by) with pairs unlinked by hand taken out, and those chosen by hand in place of any other."""
+    kept = resolved_rows.join(unlinked.select("arc", "oax"), ["arc", "oax"], "left_anti").join(chosen.select("arc").distinct(), "arc", "left_anti")
+    return kept.select("arc", "oax", "resolved_by").unionByName(chosen.select("arc", "oax", F.lit("manual").alias("resolved_by")))
+
+
+def keyword_overlap(people: DataFrame, authors: DataFrame) -> DataFrame:
+    """arc, oax, score: Jaccard of a person's and an author's words (arc, oax, words on either side, met by arc)."""
+    from ..functions.similarity import jaccard
+
+    return people.select("arc", F.col("words").alias("_own")).join(authors, "arc").select("arc", "oax", jaccard(F.col("_own"), F.col("words")).alias("score"))
+
+
+def search_result(found: Column, n_own: Column, any_institution: Column) -> Column:
+    """Confidence of a search by name (found: hits; n_own: hits of the country; any_institution: one institution gave exactly one hit)."""
+    return F.when(any_institution, "institution_match").when(found > 10, "too_common").when(found == 1, "high").when((found > 1) & (n_own == 1), "au_match").when(found > 1, "low").otherwise("not_found")

@@ -97,13 +97,9 @@ both("highly_cited_backfill", WORKS + """, q AS (SELECT type, yr, quantile_cont(
 SELECT person, count(*) FILTER (WHERE cites >= p90) AS n_highly_cited FROM works JOIN q USING (type, yr) GROUP BY person""", WORKS + """, q AS (SELECT type, yr, percentile(cites, 0.9) AS p90 FROM works GROUP BY type, yr)
 SELECT person, count(*) FILTER (WHERE cites >= p90) AS n_highly_cited FROM works JOIN q USING (type, yr) GROUP BY person""")
 both("world_annual", WORKS + " SELECT yr, count(*) AS n_works, count(DISTINCT person) AS n_people, CAST(sum(cites) AS BIGINT) AS citations, round(avg(cites), 6) AS mean_cites FROM works GROUP BY yr")
-both("author_map_union", """SELECT DISTINCT work, author, is_primary FROM (SELECT l_orderkey AS work, min(l_suppkey) AS author, true AS is_primary FROM lineitem GROUP BY l_orderkey
-UNION ALL SELECT l_orderkey, l_suppkey, false FROM lineitem WHERE l_returnflag IN ('A', 'R')) t""")
 both("primary_flag_dedupe", "SELECT l_orderkey AS work, l_suppkey AS author, bool_or(l_linenumber = 1) AS is_primary, max(l_shipdate) AS latest FROM lineitem GROUP BY l_orderkey, l_suppkey")
 both("oeuvre_fetch", WORKS + """, t AS (SELECT l_orderkey AS work, p_brand AS subfield, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, p_brand, l_partkey) AS rk FROM lineitem JOIN part ON p_partkey = l_partkey)
 SELECT person, works.work AS work, yr, cites, subfield FROM works LEFT JOIN t ON t.work = works.work AND rk = 1""")
-both("collab_not_in", """SELECT l_orderkey % 100 AS person, n_name AS country, count(DISTINCT l_orderkey) AS n_works FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey
-WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) GROUP BY l_orderkey % 100, n_name""")
 both("semi_join_scope", "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
 both("anti_join_no_lines", "SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
 both("exclusion_counts", """SELECT o_custkey, reason, count(*) AS n FROM (SELECT o_custkey, CASE WHEN o_orderstatus NOT IN ('F', 'O') THEN 'type_not_allowed' WHEN year(o_orderdate) < 1996 THEN 'implausible_year'
@@ -128,11 +124,7 @@ SELECT o_orderkey AS work, fields IS NULL OR arrays_overlap(fields, array('ECONO
 both("group_coherence", """WITH t AS (SELECT DISTINCT o_custkey, o_orderstatus, l_orderkey AS work, p_brand AS subfield FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey),
 g AS (SELECT o_custkey, o_orderstatus, count(DISTINCT work) AS size FROM t GROUP BY o_custkey, o_orderstatus), s AS (SELECT o_custkey, o_orderstatus, subfield, count(DISTINCT work) AS shared FROM t GROUP BY o_custkey, o_orderstatus, subfield)
 SELECT work, CASE WHEN max(size) < 3 THEN NULL ELSE bool_or(shared >= 2) END AS coherent FROM t JOIN g USING (o_custkey, o_orderstatus) JOIN s USING (o_custkey, o_orderstatus, subfield) GROUP BY work""")
-both("hep_match_tristate", "SELECT d.doc_id AS doc_id, CASE WHEN l.doc_id IS NULL THEN NULL ELSE quality = 1 END AS hep_match FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
 both("gap_years", "SELECT o_custkey, CAST(max(year(o_orderdate)) - min(year(o_orderdate)) + 1 - count(DISTINCT year(o_orderdate)) AS BIGINT) AS gaps FROM orders GROUP BY o_custkey")
-both("domain_outlier", """WITH c AS (SELECT l_suppkey AS person, p_type AS domain, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_suppkey, p_type),
-r AS (SELECT *, sum(n) OVER (PARTITION BY person) AS total, row_number() OVER (PARTITION BY person ORDER BY n DESC, domain) AS rk FROM c)
-SELECT person, domain, n FROM r WHERE total >= 20 AND rk > 3 AND n < 0.05 * total + 100""")
 both("accuracy_shared_ids", "SELECT l_suppkey, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY l_suppkey HAVING count(DISTINCT l_orderkey) > 1")
 both("reconciliation_flags", """SELECT o_orderkey, coalesce(n, 0) AS n_lines, CASE WHEN coalesce(n, 0) = 0 THEN 'under' WHEN n > 7 THEN 'over' ELSE 'ok' END AS flag FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey) t ON l_orderkey = o_orderkey""")
 both("type_mix_pct", "SELECT o_orderpriority, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS pct FROM orders GROUP BY o_orderpriority",
@@ -146,7 +138,6 @@ both("cohort_crosstab", "SELECT coalesce(c_mktsegment, 'Total') AS seg, CAST(yr
      "SELECT coalesce(c_mktsegment, 'Total') AS seg, CAST(yr AS STRING) AS yr, n FROM (SELECT c_mktsegment, year(o_orderdate) AS yr, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY CUBE (c_mktsegment, year(o_orderdate))) t")
 both("proportional_projection", "SELECT c_mktsegment, count(*) AS n, CAST(round_even(count(*) * 1000.0 / sum(count(*)) OVER (), 0) AS BIGINT) AS target FROM customer GROUP BY c_mktsegment",
      "SELECT c_mktsegment, count(*) AS n, CAST(bround(CAST(count(*) * 1000.0 AS DOUBLE) / sum(count(*)) OVER (), 0) AS BIGINT) AS target FROM customer GROUP BY c_mktsegment")
-both("panel_lookup_fallback", """SELECT p_partkey, coalesce(g.panel, v.panel, '(unmapped)') AS panel FROM part LEFT JOIN (SELECT 'Brand#11' AS code, 'X' AS panel) g ON g.code = p_brand LEFT JOIN (SELECT n_name AS code, 'Y' AS panel FROM nation) v ON v.code = p_type""")
 both("term_frequency", "SELECT p_brand, round(CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM part), 9) AS tf, round(-ln(CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM part)), 6) AS idf FROM part GROUP BY p_brand")
 both("idf_six_blocks", """SELECT block, value, round(-ln(CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM lineitem)), 6) AS idf FROM (SELECT 'coauthor' AS block, CAST(l_suppkey AS VARCHAR) AS value FROM lineitem
 UNION ALL SELECT 'field', p_type FROM lineitem JOIN part ON p_partkey = l_partkey UNION ALL SELECT 'subfield', p_brand FROM lineitem JOIN part ON p_partkey = l_partkey
@@ -171,8 +162,8 @@ def title_dedup_loose(spark: SparkSession, d: str) -> DataFrame:
     return k.groupBy("person", "k").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
 
 
-@query("""WITH k AS (SELECT source AS person, doc_id AS work, CAST(doc_id % 7 + 2000 AS BIGINT) AS yr, n_chars AS cites, lang, lower(regexp_replace(text, '[^a-zA-Z0-9]', '', 'g')) AS t FROM documents),
-g AS (SELECT person, work, lang, min(yr) OVER w AS year, CAST(sum(cites) OVER w AS BIGINT) AS cites, CASE WHEN length(t) >= 20 THEN t ELSE CAST(work AS VARCHAR) END AS k FROM k WINDOW w AS (PARTITION BY person, CASE WHEN length(t) >= 20 THEN t ELSE CAST(work AS VARCHAR) END))
+@query("""WITH k AS (SELECT source AS person, doc_id AS work, CAST(doc_id % 7 + 2000 AS BIGINT) AS yr, n_chars AS cites, lang, lower(regexp_replace(text, '[^a-zA-Z0-9]', '', 'g')) AS t, length(text) AS len FROM documents),
+g AS (SELECT person, work, lang, min(yr) OVER w AS year, CAST(sum(cites) OVER w AS BIGINT) AS cites, CASE WHEN len >= 20 THEN t ELSE CAST(work AS VARCHAR) END AS k FROM k WINDOW w AS (PARTITION BY person, CASE WHEN len >= 20 THEN t ELSE CAST(work AS VARCHAR) END))
 SELECT person, work, year, cites, k FROM g QUALIFY row_number() OVER (PARTITION BY person, k ORDER BY CASE lang WHEN 'en' THEN 0 ELSE 1 END, work) = 1""")
 def title_dedup(spark: SparkSession, d: str) -> DataFrame:
     w = table(spark, d, "documents").select(F.col("source").alias("person"), F.col("doc_id").alias("work"), (F.col("doc_id") % 7 + 2000).alias("yr"), F.col("n_chars").alias("cites"), "lang", F.col("text").alias("title"))
@@ -180,11 +171,6 @@ def title_dedup(spark: SparkSession, d: str) -> DataFrame:
     return metrics.title_dedup(w, T.loose_title_key(F.col("title")), F.when(F.col("lang") == "en", 0).otherwise(1))
 
 
-@query()
-def title_keys(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", T.title_key(F.col("text")).alias("k"))
-
-
 _EDGES = "SELECT DISTINCT l_suppkey AS a, 1000000 + l_partkey AS b FROM lineitem"
 
 
@@ -265,13 +251,8 @@ def resolve_cascade(spark: SparkSession, d: str) -> DataFrame:
     return t.where("p = top and tops = 1").select("arc", "oax", step.alias("resolved_by"))
 
 
-both("merge_by_shared_key", "SELECT user_id, min(event_id) AS cluster, count(*) AS n FROM events GROUP BY user_id")
-both("gap_candidates", "SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey WHERE a.p_type = b.p_type")
 both("points_scoring", "SELECT c_custkey, CASE WHEN c_acctbal > 5000 THEN 45 ELSE 0 END + CASE WHEN n_regionkey = 1 THEN 25 ELSE 15 END AS points FROM customer JOIN nation ON n_nationkey = c_nationkey",
      "SELECT c_custkey, CASE WHEN c_acctbal > 5000 THEN 45 ELSE 0 END + CASE WHEN n_regionkey = 1 THEN 25 ELSE 15 END AS points FROM customer JOIN nation ON n_nationkey = c_nationkey")
-both("interval_overlap_split", """WITH f AS (SELECT o_custkey, o_orderkey, year(o_orderdate) AS s, year(o_orderdate) + 3 AS e FROM orders WHERE o_orderpriority = '1-URGENT')
-SELECT DISTINCT a.o_custkey AS cluster, a.o_orderkey AS child FROM f a JOIN f b ON a.o_custkey = b.o_custkey AND a.o_orderkey <> b.o_orderkey AND a.s < b.e AND b.s < a.e""")
-both("channel_piles", "SELECT l_orderkey AS pile, bool_or(l_returnflag = 'R') AS orcid_match, bool_or(p_type = 'PROMO') AS field_match, bool_or(l_returnflag = 'R' OR p_type = 'PROMO') AS confirmed FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_orderkey")
 both("duplicate_groups", "SELECT text, min(doc_id) AS first_id, max(doc_id) AS last_id, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1")
 both("set_difference", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'")
 both("order_nulls_last", "SELECT d.doc_id AS doc_id, toxic FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id ORDER BY toxic DESC NULLS LAST, d.doc_id")

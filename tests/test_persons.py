@@ -28,7 +28,7 @@ def test_agrees_with_sql(spark, name):
 
 @pytest.mark.parametrize(("name", "want"), [
     ("Dr. Jane Mary van den Berg AO", ("Dr.", "Jane", "Mary", "van den Berg", "AO")),
-    ("Smith, John Q.", (None, "John", "Q.", "Smith", None)),
+    ("Smith, John Q.", (None, "John", "Q.", "Smith", None)), ("Anthony Kinloch FRS, FREng", (None, "Anthony", None, "Kinloch", "FRS FREng")), ("Jane Smith FAA", (None, "Jane", None, "Smith", "FAA")),
     ("Plato", (None, "Plato", None, None, None)), ("", (None,) * 5), (None, (None,) * 5),
 ])
 def test_parse(spark, name, want):
@@ -37,7 +37,7 @@ def test_parse(spark, name, want):
 
 
 def test_forms(spark):
-    df = spark.createDataFrame([("Dr José Ånd Müller",), (None,)], "n string").select(N.strip_diacriticals("n").alias("a"), N.diacritic_variants("n").alias("v"), N.given_names(F.col("n")).alias("g"))
+    df = spark.createDataFrame([("Dr José Ånd Müller",), (None,)], "n string").select(N.strip_diacriticals(F.col("n")).alias("a"), N.spellings(F.col("n")).alias("v"), N.given_names(F.col("n")).alias("g"))
     one, none = df.collect()
     assert one.a == "Dr Jose And Muller" and none.a is None and none.v == [] and none.g.first is None
     assert one.v == ["dr jose aand mueller", "dr jose aand muller", "dr jose and mueller", "dr jose and muller"]
