@@ -5,25 +5,30 @@ with a smaller doc_id. Suffixes need only be ordered through LENGTH bytes for th
 are equal so far are exactly the repeated windows. The order is by digits, the most significant
 first, and a digit is spent only on groups that the ones before left with several documents:
 
-1. The first digit is the window's anchor, the KMER bytes at the place that a mod-minimizer picks by
-   content, so equal windows have equal anchors at equal places. Neighbouring windows share an
-   anchor; about one position in fifteen is one. Anchors in one document only are dropped.
-2. The second digit is the rest of the window to either side of the anchor, for each place that the
-   anchor may have in a window. Equal groups are then equal windows, and each group's smallest
-   doc_id decides.
+1. The first pass is over the window's anchor, the KMER bytes at the place that a mod-minimizer picks
+   by content, so equal windows have equal anchors at equal places. Neighbouring windows share an
+   anchor; about one position in fifteen is one. Anchors in one document only are dropped; a hash of
+   the anchor deals the others to buckets, where a false match costs work and decides nothing.
+2. In a bucket the suffixes that begin with an anchor are sorted by digits of eight of their bytes,
+   the most significant first, through the end of the longest window; a digit is looked at only for
+   suffixes that all digits before left with others. What precedes an anchor is sorted the same way,
+   read backwards. Suffixes equal through so many bytes on either side are the repeated windows for
+   that place of the anchor, byte for byte, and each group's smallest doc_id decides.
 
 Documents are dealt into chunks by a hash of the whole row. A chunk gathers its anchors, one entry
 for each distinct one, before anything is shuffled, and asks buckets of the hash range about them;
 so an anchor of very many documents costs one entry a chunk, not one a document. Occurrences with
 equal surroundings within a chunk go on as one. An anchor that more than `HOT` rows of some
-chunk, or more than `HOT` chunks have, is sorted by whole windows instead, each hashed and spread over
-all buckets with a minimum taken first in each chunk. Answers go back to the chunks, which meet
+chunk, or more than `HOT` chunks have, goes by whole windows instead, each under a 128-bit digest, spread
+over all buckets with a minimum taken first in each chunk. Answers go back to the chunks, which meet
 their texts again. Chunks and buckets have a fixed size, so their number grows with the input, and
 memory does not.
 
 Defined cases: a null text is empty; texts shorter than LENGTH bytes lose nothing; a null doc_id is
-larger than any other and is matched by all smaller ones only; rows that share a doc_id don't
-remove each other's passages; an empty table gives no rows. Extra columns are ignored.
+larger than any other and is matched by all smaller ones only; rows that share a doc_id (ties) don't
+remove each other's passages; rows that repeat entirely are worked on once, whatever their number,
+and each gets its result; a text of any length is one document, taken whole; an empty table gives no
+rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,6 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
+from .store import written
 
 LENGTH = 50
 KMER = 29
@@ -46,7 +52,9 @@ SIDE = LENGTH - KMER
 CHUNK = 6 << 20  # bytes of text in a chunk
 BUCKET = 16 << 20  # bytes of text whose anchors share a bucket
 HOT = 512
+BASE_2 = 0xD1342543DE82EF95
 SEGMENT = 1 << 19
+ENTRY = KMER + 2 * SIDE + 2  # the anchor, what surrounds it, and how much there is of that
 LAST = np.int64(2**63 - 1)  # stands for a null doc_id
 MESSAGE = "chunk int, bucket int, kind int, a binary, b binary"
 
@@ -104,6 +112,7 @@ class Chunk:
         ids = table.column("doc_id").to_pylist()
         data, off = K.utf8(table.column("text"))
         self.rows = len(ids)
+        self.times = table.column("times").to_pylist()
         self.ids = ids
         self.doc = np.array([LAST if i is None else i for i in ids], np.int64)
         self.data, self.off = data, off
@@ -127,16 +136,58 @@ class Chunk:
 
 
 def _places(h: np.ndarray, sides: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each place of the anchor in a window: the place, rows that have such a window, and a hash of the window."""
+    """For each place of the anchor in a window: the place, rows that have such a window, and a 128-bit digest of the window."""
     n = len(h)
-    left = np.zeros((SIDE + 1, n), np.uint64)
-    right = np.zeros((SIDE + 1, n), np.uint64)
-    for k in range(SIDE):
-        left[k + 1] = left[k] * np.uint64(K.BASE) + K.BYTE_CODE[sides[:, k]]
-        right[k + 1] = right[k] * np.uint64(K.BASE) + K.BYTE_CODE[sides[:, SIDE + k]]
+    out: list[list] = [[] for _ in range(SIDE + 1)]
+    for base in (K.BASE, BASE_2):
+        left = np.zeros((SIDE + 1, n), np.uint64)
+        right = np.zeros((SIDE + 1, n), np.uint64)
+        for k in range(SIDE):
+            left[k + 1] = left[k] * np.uint64(base) + K.BYTE_CODE[sides[:, k]]
+            right[k + 1] = right[k] * np.uint64(base) + K.BYTE_CODE[sides[:, SIDE + k]]
+        for o in range(SIDE + 1):
+            rows = np.flatnonzero((sides[:, 2 * SIDE] >= o) & (sides[:, 2 * SIDE + 1] >= SIDE - o))
+            out[o].append(K.mix(K.mix(h[rows] ^ left[o][rows]) + right[SIDE - o][rows] * np.uint64(base) + np.uint64(o)))
     for o in range(SIDE + 1):
         rows = np.flatnonzero((sides[:, 2 * SIDE] >= o) & (sides[:, 2 * SIDE + 1] >= SIDE - o))
-        yield o, rows, K.mix(K.mix(h[rows] ^ left[o][rows]) + right[SIDE - o][rows] * np.uint64(K.BASE) + np.uint64(o))
+        yield o, rows, np.stack(out[o], 1)
+
+
+def _numbered(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows of pairs in order, and the number of each row's."""
+    order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+    ranked = pairs[order]
+    new = np.concatenate([np.ones(min(1, len(ranked)), bool), (ranked[1:] != ranked[:-1]).any(1)])
+    code = np.empty(len(pairs), np.int64)
+    code[order] = np.cumsum(new) - 1
+    return ranked[new], code
+
+
+def refine(group: np.ndarray, raw: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """How many bytes of raw are looked at, and the groups of rows that agree on group and on these bytes; from none to all.
+
+    By digits of eight bytes, the most significant first. Rows alone in their group are not looked at
+    again; what follows one digit orders the rows within what the digits before left equal.
+    """
+    n, width = raw.shape
+    wide = np.zeros((n, -(-width // 8) * 8), np.uint8)
+    wide[:, :width] = raw
+    digits = wide.view(">u8").astype(np.uint64)
+    group = group.copy()
+    yield 0, group
+    for d in range(digits.shape[1]):
+        size = np.bincount(group, minlength=1)
+        live = np.flatnonzero(size[group] > 1)
+        order = live[np.lexsort((digits[live, d], group[live]))]
+        g, x = group[order], digits[order, d]
+        apart = g[1:] != g[:-1]
+        differ = x[1:] ^ x[:-1]
+        for k in range(min(8, width - 8 * d)):  # the digit's bytes one after another, in this one order
+            new = np.concatenate([np.ones(min(1, len(order)), bool), apart | (differ >> np.uint64(56 - 8 * k) != 0)])
+            group = group.copy()
+            group[order] = len(size) + np.cumsum(new) - 1
+            yield 8 * d + k + 1, group
+        _, group = np.unique(group, return_inverse=True)
 
 
 def _six(v: np.ndarray) -> bytes:
@@ -221,15 +272,16 @@ class Second:
         self.h = c.hash[self.pick]
         self.doc = c.doc[c.of[self.pick]]
         self.sides = c.sides(self.pick)
-        wide = np.zeros((len(self.pick), 48), np.uint8)
-        wide[:, : 2 * SIDE + 2] = self.sides
+        self.raw = np.concatenate([c.data[c.at[self.pick][:, None] + np.arange(KMER)], self.sides], 1) if len(self.pick) else np.zeros((0, ENTRY), np.uint8)
+        wide = np.zeros((len(self.pick), -(-ENTRY // 8) * 8), np.uint8)
+        wide[:, :ENTRY] = self.raw
         words = wide.view(np.uint64)
         key = self.h.copy()
         for k in range(words.shape[1]):
             key = K.mix(key * np.uint64(K.BASE) + words[:, k])
-        # surroundings in order of the anchor, then of their own hash: the same whatever the order of the rows
+        # surroundings in order of the anchor's hash, then of their own: the same whatever the order of the rows
         order = np.lexsort((self.doc, key, self.h))
-        first = np.flatnonzero(np.concatenate([[True], (self.h[order][1:] != self.h[order][:-1]) | (key[order][1:] != key[order][:-1])])) if len(order) else np.zeros(0, np.int64)
+        first = np.flatnonzero(np.concatenate([[True], (self.raw[order][1:] != self.raw[order][:-1]).any(1)])) if len(order) else np.zeros(0, np.int64)
         self.rep = order[first]  # of each surroundings, the occurrence with the smallest doc_id
         self.group = np.empty(len(order), np.int64)
         self.group[order] = np.repeat(np.arange(len(first)), np.diff(np.concatenate([first, [len(order)]])))
@@ -241,9 +293,9 @@ class Second:
         """Distinct windows of hot anchors, sorted, with their smallest doc_id here; by place: surroundings and number of the window."""
         rep = self.rep[self.hot]
         found = [(o, rows, w) for o, rows, w in _places(self.h[rep], self.sides[rep])]
-        every = np.concatenate([np.zeros(0, np.uint64), *(w for _, _, w in found)])
+        every = np.concatenate([np.zeros((0, 2), np.uint64), *(w for _, _, w in found)])
         doc = np.concatenate([np.zeros(0, np.int64), *(self.doc[rep][rows] for _, rows, _ in found)])
-        key, code = np.unique(every, return_inverse=True)
+        key, code = _numbered(every)
         low = np.full(len(key), LAST)
         np.minimum.at(low, code, doc)
         bounds = np.cumsum([0, *(len(w) for _, _, w in found)])
@@ -253,32 +305,38 @@ class Second:
 def _second_digit(chunk_id: int, table: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
     """kind 1: surroundings with their smallest doc_id; kind 2: whole windows with theirs, of anchors that very many have."""
     s = Second(Chunk(table), answers)
-    h, doc, sides = s.h[s.rep][s.cold], s.doc[s.rep][s.cold], s.sides[s.rep][s.cold]
-    rows = [(chunk_id, b, 1, np.concatenate([h[i:j], doc[i:j].view(np.uint64)]).tobytes(), sides[i:j].tobytes()) for b, i, j in _split(h, buckets)]
+    h, doc, raw = s.h[s.rep][s.cold], s.doc[s.rep][s.cold], s.raw[s.rep][s.cold]
+    rows = [(chunk_id, b, 1, doc[i:j].tobytes(), raw[i:j].tobytes()) for b, i, j in _split(h, buckets)]
     key, low, _ = s.windows()
-    rows += [(chunk_id, buckets + b, 2, key[i:j].tobytes(), low[i:j].tobytes()) for b, i, j in _split(key, buckets)]
+    rows += [(chunk_id, buckets + b, 2, key[i:j].tobytes(), low[i:j].tobytes()) for b, i, j in _split(key[:, 0], buckets)]
     return _message(rows)
 
 
 def _repeated(bucket: int, table: pa.Table) -> pa.Table:
-    """To each chunk: for its surroundings, the places whose windows start in a smaller document; of its windows, those that do."""
+    """To each chunk: for its surroundings, the places whose windows start in a smaller document; for each of its windows, whether it does."""
     chunks, kinds, a, b = (table.column(c).to_pylist() for c in ("chunk", "kind", "a", "b"))
     if kinds[0] == 2:
-        key = [np.frombuffer(x, np.uint64) for x in a]
+        key = [np.frombuffer(x, np.uint64).reshape(-1, 2) for x in a]
         doc = [np.frombuffer(x, np.int64) for x in b]
-        every, code = np.unique(np.concatenate(key), return_inverse=True)
+        every, code = _numbered(np.concatenate(key))
         low = np.full(len(every), LAST)
         np.minimum.at(low, code, np.concatenate(doc))
         bounds = np.cumsum([0, *map(len, key)])
-        return _message([(c, bucket, 2, k[low[code[i:j]] < d].tobytes(), b"") for c, k, d, i, j in zip(chunks, key, doc, bounds, bounds[1:], strict=False)])
-    size = [len(x) // 16 for x in a]
-    h = np.concatenate([np.frombuffer(x, np.uint64)[:n] for x, n in zip(a, size, strict=True)])
-    doc = np.concatenate([np.frombuffer(x, np.int64)[n:] for x, n in zip(a, size, strict=True)])
-    sides = np.concatenate([np.frombuffer(x, np.uint8).reshape(n, 2 * SIDE + 2) for x, n in zip(b, size, strict=True)])
-    mask = np.zeros(len(h), np.uint32)
-    for o, rows, w in _places(h, sides):
+        return _message([(c, bucket, 2, np.packbits(low[code[i:j]] < d).tobytes(), b"") for c, d, i, j in zip(chunks, doc, bounds, bounds[1:], strict=False)])
+    size = [len(x) // 8 for x in a]
+    doc = np.concatenate([np.frombuffer(x, np.int64) for x in a])
+    raw = np.concatenate([np.frombuffer(x, np.uint8).reshape(-1, ENTRY) for x in b])
+    left, right = raw[:, KMER : KMER + SIDE], raw[:, KMER + SIDE : KMER + 2 * SIDE]
+    far_left, far_right = raw[:, ENTRY - 2], raw[:, ENTRY - 1]
+    for _, anchor in refine(np.zeros(len(doc), np.int64), raw[:, :KMER]):
+        pass
+    _, anchor = np.unique(anchor, return_inverse=True)
+    after = [g.astype(np.int32) for _, g in refine(anchor, right)]
+    mask = np.zeros(len(doc), np.uint32)
+    for o, before in refine(anchor, left):
+        rows = np.flatnonzero((far_left >= o) & (far_right >= SIDE - o))
         if len(rows):
-            code, first = K.distinct(w)
+            code, first = K.distinct((before[rows].astype(np.uint64) << np.uint64(32)) | after[SIDE - o][rows].astype(np.uint64))
             low = np.full(len(first), LAST)
             np.minimum.at(low, code, doc[rows])
             mask[rows] |= (low[code] < doc[rows]).astype(np.uint32) << np.uint32(o)
@@ -297,8 +355,8 @@ def covered(c: Chunk, answers: pa.Table, buckets: int) -> np.ndarray:
         mask[s.cold[i:j]] = np.frombuffer(of[1, b], np.uint32)
     key, low, places = s.windows()
     gone = np.zeros(len(key), bool)
-    for b, i, j in _split(key, buckets):
-        gone[i:j] = _in(np.frombuffer(of[2, buckets + b], np.uint64), key[i:j])
+    for b, i, j in _split(key[:, 0], buckets):
+        gone[i:j] = _bits(of[2, buckets + b], j - i)
     doc = s.doc[s.rep]
     for o, rows, code in places:
         mask[rows] |= (gone[code] | (low[code] < doc[rows])).astype(np.uint32) << np.uint32(o)
@@ -314,7 +372,7 @@ def covered(c: Chunk, answers: pa.Table, buckets: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept_text binary"
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept_text binary, times long"
 
 
 def _finish(table: pa.Table, answers: pa.Table, buckets: int, text: bool) -> pa.Table:
@@ -330,18 +388,25 @@ def _finish(table: pa.Table, answers: pa.Table, buckets: int, text: bool) -> pa.
             kept = c.data[a:b][~mine].tobytes()
         else:
             spans, kept = [], c.data[a:b].tobytes()
-        out.append((c.ids[d], b - a, b - a - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), [{"start": x, "end": y} for x, y in spans], kept if text else None))
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary())
+        out.append((c.ids[d], b - a, b - a - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), [{"start": x, "end": y} for x, y in spans], kept if text else None, c.times[d]))
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.binary(), pa.int64())
     cols = list(zip(*out, strict=True)) or [[]] * len(kinds)
-    return pa.table([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], [x.split()[0] for x in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept_text")])
+    return pa.table([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], [x.split()[0] for x in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept_text", "times")])
 
 
 def removed(docs: DataFrame, text: bool = False, chunk: int = CHUNK, per_bucket: int = BUCKET, hot: int = HOT) -> DataFrame:
     """A row for each row of docs: what goes, where (byte ranges), a digest of what stays, and with text=True what stays."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(1).cast("long").alias("times"))
+    several = written(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_several")), "op1-several")
+    repeated = not several.isEmpty()
+    if repeated:  # rows of one id and text are one row and its number
+        mine = docs.doc_id.eqNullSafe(several._several)
+        once = docs.join(several, mine, "left_semi").groupBy("doc_id", "text").agg(F.count("*").alias("times"))
+        docs = written(docs.join(several, mine, "left_anti").unionByName(once), "op1-once")
     size = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     chunks, buckets = max(1, -(-size // chunk)), max(1, -(-size // per_bucket))
     deal = F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int")
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("chunk", deal)
+    dealt = docs.withColumn("chunk", deal)
     by_chunk = dealt.groupBy("chunk")
 
     def first(key: tuple, table: pa.Table) -> pa.Table:
@@ -361,7 +426,10 @@ def removed(docs: DataFrame, text: bool = False, chunk: int = CHUNK, per_bucket:
 
     one = by_chunk.applyInArrow(first, MESSAGE).groupBy("bucket").applyInArrow(shared, MESSAGE)
     two = by_chunk.cogroup(one.groupBy("chunk")).applyInArrow(second, MESSAGE).groupBy("bucket").applyInArrow(repeated, MESSAGE)
-    return by_chunk.cogroup(one.unionByName(two).groupBy("chunk")).applyInArrow(finish, RESULT)
+    found = by_chunk.cogroup(one.unionByName(two).groupBy("chunk")).applyInArrow(finish, RESULT)
+    if repeated:
+        found = found.withColumn("_each", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("_each")
+    return found.drop("times")
 
 
 def digest(docs: DataFrame) -> DataFrame:

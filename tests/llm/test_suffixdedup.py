@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from helpers import docs, empty, odd
 
@@ -42,3 +43,19 @@ def test_kept_text_and_spans(spark):
     got = {r.doc_id: r for r in S.removed(docs(spark, ["one " + p, "two " + p + " end"]), text=True).collect()}
     assert bytes(got[0].kept_text).decode() == "one " + p
     assert bytes(got[1].kept_text).decode() == "two end"[:3] + " end" and [tuple(s) for s in got[1].spans] == [(3, 4 + len(p))]
+
+
+def test_rows_that_repeat_are_worked_on_once_and_told_each(spark):
+    a, b = "passage " * 12, "another one of some length, which stands here and there too"
+    rows = [(1, a)] * 30 + [(2, a + b), (None, b), (None, b), (None, a + "x"), (1, b), (3, b)]
+    got = sorted(map(str, map(tuple, S.digest(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect())))
+    assert got == sorted(map(str, S.brute(rows)))
+
+
+def test_refine_groups_by_equal_bytes():
+    rng = np.random.default_rng(3)
+    raw = rng.integers(0, 2, (300, 21), dtype=np.uint8)
+    start = rng.integers(0, 3, 300)
+    for depth, group in S.refine(start, raw):
+        same = [tuple([g, *r[:depth]]) for g, r in zip(start.tolist(), raw.tolist())]
+        assert len({(x, y) for x, y in zip(same, group.tolist())}) == len(set(same)) == len(set(group.tolist()))
