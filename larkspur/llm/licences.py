@@ -22,7 +22,9 @@ that have the result's names are replaced, others stay.
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -120,47 +122,96 @@ def _values() -> str:
     return ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(TEMPLATES))
 
 
+def _vectors() -> tuple[dict[str, float], list[dict[str, float]]]:
+    """idf of every term of the templates, and each template's weights: tf * idf over the vector's length."""
+    counts = [Counter(re.findall(WORD, notice.lower())) for _, notice in TEMPLATES]
+    idf = {t: math.log((1 + len(TEMPLATES)) / (1 + sum(t in c for c in counts))) + 1 for c in counts for t in c}
+    out = []
+    for c in counts:
+        norm = math.sqrt(sum((n * idf[t]) ** 2 for t, n in c.items()))
+        out.append({t: n * idf[t] / norm for t, n in c.items()})
+    return idf, out
+
+
+IDF, WEIGHTS = _vectors()
+RARE = math.log(1 + len(TEMPLATES)) + 1  # of a term that no template has
+
+
 def templates(spark: SparkSession) -> DataFrame:
-    """term, idf and its weight in each template (tf * idf over the vector's length): a few hundred constant rows."""
-    t = spark.sql(f"SELECT * FROM VALUES {_values()} AS t(template, licence, notice)")
-    tf = t.select("template", F.explode(_terms(F.col("notice"))).alias("term")).groupBy("template", "term").agg(F.count("*").alias("tf"))
-    idf = tf.groupBy("term").agg((F.log((1 + len(TEMPLATES)) / (1 + F.countDistinct("template"))) + 1).alias("idf"))
-    w = tf.join(F.broadcast(idf), "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norm = w.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    weights = w.join(F.broadcast(norm), "template").groupBy("term").agg(F.first("idf").alias("idf"), *[F.sum(F.when(F.col("template") == k, F.col("w") / F.col("norm")).otherwise(0.0)).alias(f"w{k}") for k in range(len(TEMPLATES))])
-    return weights.select("term", "idf", F.array(*[f"w{k}" for k in range(len(TEMPLATES))]).alias("weights"))
-
-
-def runs(held: DataFrame) -> DataFrame:
-    """path, terms and size of every run of words that holds a cue word and has the length of some notice."""
+    """term, idf and its weight in each template: a few hundred constant rows."""
+    rows = ", ".join(f"('{t}', {x!r}D, array({', '.join(f'{w.get(t, 0.0)!r}D' for w in WEIGHTS)}))" for t, x in IDF.items())
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(term, idf, weights)")
+
+
+def _lookup(values: dict[str, float], other: float, term: Column) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), term), F.lit(other))
+
+
+def of_runs(held: DataFrame, least: float) -> DataFrame:
+    """path and the best (-cosine, licence) of its runs of words: each run that holds a cue word and is as long as some notice, against the notices of its length.
+
+    Worked out within the row: the words around a cue get their weights once, and each run is a slice of them.
+    """
     far = RUNS[-1] - 1
     words = held.select("path", _terms(F.col("text")).alias("terms"))
     at = F.filter(F.transform("terms", lambda x, i: F.when(x.rlike(CUE_TERM), i)), lambda i: i.isNotNull())
     # the words around each cue, equal surroundings of a text once, and where the cue is in them
     near = F.transform(at, lambda i: F.struct(F.slice("terms", F.greatest(i - far, F.lit(0)) + 1, F.least(i, F.lit(far)) + 1 + far).alias("near"), F.least(i, F.lit(far)).alias("cue")))
     near = words.select("path", F.inline(F.array_distinct(near)))
-    cut = lambda size: F.transform(F.sequence(F.greatest(F.col("cue") - size + 1, F.lit(0)), F.col("cue")), lambda k: F.struct(F.slice("near", k + 1, F.lit(size)).alias("terms"), F.lit(size).alias("size")))
-    return near.select("path", F.inline(F.array_distinct(F.concat(*map(cut, RUNS)))))
+    of = [k for k in range(len(NOTICES)) if SIZES[k] in RUNS]
+    near = near.withColumn("idf", F.transform("near", lambda t: _lookup({t_: IDF[t_] for k in of for t_ in WEIGHTS[k]}, RARE, t)))
+    weigh = lambda k: F.transform("near", lambda t, i: F.get("idf", i) * _lookup(WEIGHTS[k], 0.0, t))
+    near = near.withColumns({f"d{k}": weigh(k) for k in of})
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
+
+    def best(k: int) -> Column:
+        size = SIZES[k]
+        starts = F.sequence(F.greatest(F.col("cue") - size + 1, F.lit(0)), F.col("cue"))
+        # a run's length is at least that without repeated words, which rules most runs out
+        scored = F.transform(starts, lambda p: F.struct(p.alias("p"), total(F.slice(f"d{k}", p + 1, F.lit(size))).alias("dot"), F.slice("idf", p + 1, F.lit(size)).alias("idf")))
+        close = F.filter(scored, lambda x: (x["dot"] > 0) & (x["dot"] >= (least - 1e-6) * F.sqrt(F.aggregate(x["idf"], F.lit(0.0), lambda s, v: s + v * v))))
+
+        def exact(x: Column) -> Column:
+            run = F.slice("near", x["p"] + 1, F.lit(size))
+            square = total(F.transform(run, lambda t, i: F.get(x["idf"], i) * F.get(x["idf"], i) * F.size(F.filter(run, lambda y: y == t))))
+            return F.struct((-F.round(x["dot"] / F.sqrt(square), 9)).alias("c"), F.lit(TEMPLATES[k][0]).alias("licence"))
+
+        return F.array_min(F.filter(F.transform(close, exact), lambda y: y["c"] <= -least))
+
+    return near.select("path", F.array_min(F.array_compact(F.array(*map(best, of)))).alias("b")).where("b is not null").groupBy("path").agg(F.min("b").alias("b"))
+
+
+def of_pieces(held: DataFrame, least: float) -> DataFrame:
+    """path and the best (-cosine, licence) of its whole text, lines and blocks with a cue, against every template.
+
+    Only the words that some template has are exploded; the others count in the length, by the sum of
+    the squares of how often each stands there, which is folded over the sorted words.
+    """
+    known = templates(held.sparkSession)
+    pieces = F.array_union(F.split("text", "\n"), F.split("text", BLOCK_END))
+    parts = held.select("path", F.explode(F.array_union(F.filter(pieces, lambda x: x.rlike(CUE)), F.array("text"))).alias("part")).select("path", F.array_sort(_terms(F.col("part"))).alias("terms"))
+    start = F.struct(F.lit("").alias("last"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum"))
+
+    def step(s: Column, x: Column) -> Column:
+        run = F.when(x == s["last"], s["run"] + 1.0).otherwise(F.lit(1.0))
+        return F.struct(x.alias("last"), run.alias("run"), (s["sum"] + 2.0 * run - 1.0).alias("sum"))
+
+    squares = F.aggregate("terms", start, step, lambda s: s["sum"])
+    parts = parts.select("path", squares.alias("squares"), F.filter("terms", lambda t: t.isin(*IDF)).alias("terms")).withColumn("part", F.monotonically_increasing_id())
+    tf = parts.select("path", "part", "squares", F.explode("terms").alias("term")).groupBy("path", "part", "squares", "term").agg(F.count("*").cast("double").alias("tf"))
+    w = tf.join(F.broadcast(known), "term").withColumn("w", F.col("tf") * F.col("idf"))
+    dots = [F.sum(F.col("w") * F.col("weights")[k]) for k in range(len(TEMPLATES))]
+    square = F.sum(F.col("w") * F.col("w")) + RARE * RARE * (F.first("squares") - F.sum(F.col("tf") * F.col("tf")))
+    vector = w.groupBy("path", "part").agg(F.sqrt(square).alias("norm"), F.array(*dots).alias("dots"))
+    names = F.array(*[F.lit(name) for name, _ in TEMPLATES])
+    fits = F.filter(F.transform("dots", lambda x, k: F.struct((-F.round(x / F.col("norm"), 9)).alias("c"), F.get(names, k).alias("licence"))), lambda x: x["c"] <= -least)
+    return vector.select("path", F.array_min(fits).alias("b")).where("b is not null").groupBy("path").agg(F.min("b").alias("b"))
 
 
 def own(files: DataFrame, least: float = LEAST) -> DataFrame:
     """path, licence and cosine of the files that have a licence of their own; one row for each path."""
-    known = templates(files.sparkSession)
-    rare = F.log(F.lit(float(1 + len(TEMPLATES)))) + 1  # a term that no template has
     held = files.where(F.col("text").rlike(CUE))
-    pieces = F.array_union(F.split("text", "\n"), F.split("text", BLOCK_END))
-    parts = held.select("path", F.explode(F.array_union(F.filter(pieces, lambda x: x.rlike(CUE)), F.array("text"))).alias("part")).select("path", _terms(F.col("part")).alias("terms"), F.lit(None).cast("int").alias("size"))
-    terms = (
-        parts.unionByName(runs(held)).withColumn("part", F.monotonically_increasing_id())
-        .select("path", "part", "size", F.explode("terms").alias("term")).groupBy("path", "part", "size", "term").agg(F.count("*").alias("tf"))
-    )
-    w = terms.join(F.broadcast(known), "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", rare))
-    dots = [F.coalesce(F.sum(F.col("w") * F.col("weights")[k]), F.lit(0.0)) for k in range(len(TEMPLATES))]
-    vector = w.groupBy("path", "part", "size").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.array(*dots).alias("dots"))
-    # a run is compared with the notices of its own length, all else with every template
-    sizes, names = F.array(*map(F.lit, SIZES)), F.array(*[F.lit(name) for name, _ in TEMPLATES])
-    fits = F.filter(F.transform("dots", lambda x, k: F.struct((-F.round(x / F.col("norm"), 9)).alias("c"), F.get(names, k).alias("licence"), F.get(sizes, k).alias("n"))), lambda x: (x["c"] <= -least) & (F.col("size").isNull() | (F.col("size") == x["n"])))
-    best = vector.select("path", F.array_min(fits).alias("b")).where("b is not null").groupBy("path").agg(F.min("b").alias("b"))
+    best = of_pieces(held, least).unionByName(of_runs(held, least)).groupBy("path").agg(F.min("b").alias("b"))
     return best.select("path", F.col("b.licence").alias("licence"), (-F.col("b.c")).alias("cosine"))
 
 
