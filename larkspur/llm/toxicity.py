@@ -121,15 +121,14 @@ def _counts(sample: DataFrame) -> DataFrame:
     return once.groupBy("pair").agg(*[F.first(c).alias(c) for c in ("v", "w", "stem")], F.sum(1 - F.col("toxic")).alias("n0"), F.sum("toxic").alias("n1"))
 
 
-def _discount(n: np.ndarray) -> np.ndarray:
-    """Kneser and Ney's estimate for each class, from the numbers of entries seen once and twice."""
-    one, two = (n == 1).sum(0), (n == 2).sum(0)
+def _discount(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Kneser and Ney's estimate from the numbers of entries seen once and twice."""
     return np.where(one + two > 0, np.clip(one / np.maximum(one + 2 * two, 1), 0.05, 0.95), 0.5)
 
 
-def _differs(n: np.ndarray) -> np.ndarray:
+def _differs(n: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Entries seen often enough whose class counts a G test and the ratio of rates tell from the classes' sizes."""
-    size, total = n.sum(0), n.sum(1)
+    total = n.sum(1)
     expect = total[:, None] * size / size.sum()
     g = 2 * np.where(n > 0, n * np.log(np.maximum(n, 1) / np.maximum(expect, 1e-300)), 0.0).sum(1)
     ratio = (n[:, 1] + 0.5) * size[0] / ((n[:, 0] + 0.5) * size[1])
@@ -138,30 +137,35 @@ def _differs(n: np.ndarray) -> np.ndarray:
 
 def _own(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which entries have estimates of their own, and [entry, class] their discounted shares (0 for the others)."""
-    listed = _differs(n)
-    return listed, np.where(listed[:, None], np.maximum(n - _discount(n), 0) / n.sum(0), 0.0)
+    size = n.sum(0)
+    listed = _differs(n, size)
+    return listed, np.where(listed[:, None], np.maximum(n - _discount((n == 1).sum(0), (n == 2).sum(0)), 0) / size, 0.0)
 
 
-def interpolated(pair: np.ndarray, v: np.ndarray, w: np.ndarray, stem: np.ndarray, n: np.ndarray) -> Model | None:
-    """The model of distinct pairs: their hashes, the hashes of their words and of the second's stem, [pair, class] counts."""
+def _arrays(df: DataFrame, *keys: str) -> list[np.ndarray]:
+    """The key columns as hashes, and [row, class] counts."""
+    t = df.select(*keys, "n0", "n1").toArrow()
+    return [*(t.column(k).to_numpy().view(np.uint64) for k in keys), np.stack([t.column(c).to_numpy().astype(float) for c in ("n0", "n1")], 1)]
 
-    def spread(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct keys, the first pair of each, and by class in how many different pairs they end."""
-        keys, first, of = np.unique(key, return_index=True, return_inverse=True)
-        return keys, first, np.stack([np.bincount(of, n[:, c] > 0, len(keys)) for c in (0, 1)], 1)
 
-    word, first, words = spread(w)
+def interpolated(pairs: DataFrame) -> Model | None:
+    """The model of pairs (pair, v, w, stem, n0, n1); only words and the pairs that differ leave the cluster."""
+    seen = [F.sum((F.col(c) > 0).cast("long")).alias(c) for c in ("n0", "n1")]
+    word, of_word, words = _arrays(pairs.groupBy("w").agg(F.first("stem").alias("stem"), *seen), "w", "stem")
     if not words.sum(0).all():
         return None
+    order = np.argsort(word)
+    word, of_word, words = word[order], of_word[order], words[order]
     # what the classes share: the words of both together, and a uniform share that one word never seen has too
     both = words.sum(1)
-    d = _discount(both[:, None])[0]
+    d = float(_discount((both == 1).sum(), (both == 2).sum()))
     uniform = d * len(word) / both.sum() / (len(word) + 1)
     shared = (both - d) / both.sum() + uniform
-    stems, _, ends = spread(stem)
+    stems, of = np.unique(of_word, return_inverse=True)
+    ends = np.stack([np.bincount(of, words[:, c], len(stems)) for c in (0, 1)], 1)
     listed, own = _own(ends)
     stems, own = stems[listed], own[listed]
-    at, ok = _find(stems, stem[first])
+    at, ok = _find(stems, of_word)
     kinds = np.bincount(at[ok], minlength=len(stems))  # words of each listed stem, and one never seen
     by_stem = own / (kinds[:, None] + 1.0)
     rest = 1 - own.sum(0)
@@ -172,23 +176,32 @@ def interpolated(pair: np.ndarray, v: np.ndarray, w: np.ndarray, stem: np.ndarra
     unseen = rest_of_words * rest * uniform
     of_stem = rest_of_words * by_stem + unseen
     # pairs: discounted shares of what follows their first word
-    listed = _differs(n)
-    context, after = np.unique(v, return_inverse=True)
-    follows = np.stack([np.bincount(after, n[:, c], len(context)) for c in (0, 1)], 1)
-    bigram = np.maximum(n[listed] - _discount(n), 0) / np.maximum(follows[after[listed]], 1)
+    once = [F.sum((F.col(c) == k).cast("long")).alias(f"{c}_{k}") for k in (1, 2) for c in ("n0", "n1")]
+    sums = pairs.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), *once).first()
+    size = np.array([sums["n0"], sums["n1"]], float)
+    total = F.col("n0") + F.col("n1")
+    ratio = (F.col("n1") + 0.5) * size[0] / ((F.col("n0") + 0.5) * size[1])
+    some = pairs.where((total >= LEAST) & ((ratio > FACTOR) | (ratio < 1 / FACTOR)))
+    pair, v, n = _arrays(some, "pair", "v")
+    listed = _differs(n, size)
+    pair, v, n = pair[listed], v[listed], n[listed]
+    heads = pairs.sparkSession.createDataFrame([(int(x),) for x in np.unique(v).view(np.int64)], "v long")
+    context, follows = _arrays(pairs.join(F.broadcast(heads), "v", "left_semi").groupBy("v").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "v")
+    order = np.argsort(context)
+    context, follows = context[order], follows[order]
+    after = np.searchsorted(context, v)
+    discount = _discount(np.array([sums["n0_1"], sums["n1_1"]], float), np.array([sums["n0_2"], sums["n1_2"]], float))
+    bigram = np.maximum(n - discount, 0) / np.maximum(follows[after], 1)
     back = np.ones_like(follows)
-    np.subtract.at(back, after[listed], bigram)
-    some = np.unique(after[listed])
-    order = np.argsort(pair[listed])
-    return Model(word, unigram, stems, of_stem, unseen, context[some], back[some], pair[listed][order], bigram[order])
+    np.subtract.at(back, after, bigram)
+    order = np.argsort(pair)
+    return Model(word, unigram, stems, of_stem, unseen, context, back, pair[order], bigram[order])
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, fit_bytes: int = FIT_BYTES) -> Model | None:
     bounded_batches(docs.sparkSession)
     sample = written(_sample(docs, labels, fit_rows, fit_bytes), "op3-sample")
-    t = _counts(sample.where("fold > 0")).toArrow()
-    n = np.stack([t.column(c).to_numpy().astype(float) for c in ("n0", "n1")], 1)
-    model = interpolated(*(t.column(c).to_numpy().view(np.uint64) for c in ("pair", "v", "w", "stem")), n)
+    model = interpolated(written(_counts(sample.where("fold > 0")), "op3-pairs"))
     if model is not None:
         _curve(model, sample.where("fold = 0"))
     return model

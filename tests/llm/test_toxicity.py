@@ -5,7 +5,6 @@ import math
 import random
 import re
 
-import numpy as np
 import pytest
 from test_models import LOW, buffers
 
@@ -88,9 +87,7 @@ def test_evidence_matches_brute_force(spark):
     rude = ["vile1", "vilest", "grim scum", "scum"]
     train = [(c, " ".join(r.choice(rude) if c and r.random() < 0.2 else r.choice(ordinary) for _ in range(r.randint(0, 60)))) for c in [0, 1] * 40]
     df = spark.createDataFrame([(t, c) for c, t in train], "text string, toxic int")
-    t = toxicity._counts(df).toArrow()
-    n = np.stack([t.column(c).to_numpy().astype(float) for c in ("n0", "n1")], 1)
-    model = toxicity.interpolated(*(t.column(c).to_numpy().view(np.uint64) for c in ("pair", "v", "w", "stem")), n)
+    model = toxicity.interpolated(toxicity._counts(df))
     assert len(model.stem) and len(model.pair)
     texts = [t for _, t in train] + ["", "w1 scum unknown vile9 w2", "Nothing known", "É w3 vile1 vile1"]
     assert toxicity.evidence(model, *buffers(texts)).tolist() == pytest.approx(brute(train, texts), abs=1e-9)
