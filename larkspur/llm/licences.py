@@ -159,26 +159,21 @@ def of_runs(held: DataFrame, least: float) -> DataFrame:
     near = F.transform(at, lambda i: F.struct(F.slice("terms", F.greatest(i - far, F.lit(0)) + 1, F.least(i, F.lit(far)) + 1 + far).alias("near"), F.least(i, F.lit(far)).alias("cue")))
     near = words.select("path", F.inline(F.array_distinct(near)))
     of = [k for k in range(len(NOTICES)) if SIZES[k] in RUNS]
+    # a cosine is at most the length of the notice's vector over the words that are there at all, which rules most notices out
+    there = lambda k: sum((F.when(F.array_contains("near", t), w * w).otherwise(0.0) for t, w in WEIGHTS[k].items()), F.lit(0.0))
+    possible = F.array_compact(F.array(*[F.when(there(k) >= least * least - 1e-9, F.lit(k)) for k in of]))
+    weights = ", ".join(f"({k}, {SIZES[k]}, '{TEMPLATES[k][0]}', map({', '.join(f'{t!r}, {w!r}D' for t, w in WEIGHTS[k].items())}))" for k in of)
+    notices = held.sparkSession.sql(f"SELECT * FROM VALUES {weights} AS t(k, size, licence, weights)")
+    near = near.select("path", "near", "cue", F.explode(possible).alias("k")).join(F.broadcast(notices), "k")
     near = near.withColumn("idf", F.transform("near", lambda t: _lookup({t_: IDF[t_] for k in of for t_ in WEIGHTS[k]}, RARE, t)))
-    weigh = lambda k: F.transform("near", lambda t, i: F.get("idf", i) * _lookup(WEIGHTS[k], 0.0, t))
-    near = near.withColumns({f"d{k}": weigh(k) for k in of})
+    near = near.withColumn("dots", F.transform("near", lambda t, i: F.get("idf", i) * F.coalesce(F.element_at("weights", t), F.lit(0.0))))
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
-
-    def best(k: int) -> Column:
-        size = SIZES[k]
-        starts = F.sequence(F.greatest(F.col("cue") - size + 1, F.lit(0)), F.col("cue"))
-        # a run's length is at least that without repeated words, which rules most runs out
-        scored = F.transform(starts, lambda p: F.struct(p.alias("p"), total(F.slice(f"d{k}", p + 1, F.lit(size))).alias("dot"), F.slice("idf", p + 1, F.lit(size)).alias("idf")))
-        close = F.filter(scored, lambda x: (x["dot"] > 0) & (x["dot"] >= (least - 1e-6) * F.sqrt(F.aggregate(x["idf"], F.lit(0.0), lambda s, v: s + v * v))))
-
-        def exact(x: Column) -> Column:
-            run = F.slice("near", x["p"] + 1, F.lit(size))
-            square = total(F.transform(run, lambda t, i: F.get(x["idf"], i) * F.get(x["idf"], i) * F.size(F.filter(run, lambda y: y == t))))
-            return F.struct((-F.round(x["dot"] / F.sqrt(square), 9)).alias("c"), F.lit(TEMPLATES[k][0]).alias("licence"))
-
-        return F.array_min(F.filter(F.transform(close, exact), lambda y: y["c"] <= -least))
-
-    return near.select("path", F.array_min(F.array_compact(F.array(*map(best, of)))).alias("b")).where("b is not null").groupBy("path").agg(F.min("b").alias("b"))
+    starts = F.sequence(F.greatest(F.col("cue") - F.col("size") + 1, F.lit(0)), F.col("cue"))
+    runs = near.select("path", "licence", F.explode(starts).alias("p"), "near", "idf", "dots", "size")
+    runs = runs.select("path", "licence", total(F.slice("dots", F.col("p") + 1, F.col("size"))).alias("dot"), F.slice("idf", F.col("p") + 1, F.col("size")).alias("idf"), F.slice("near", F.col("p") + 1, F.col("size")).alias("run"))
+    square = total(F.transform("run", lambda t, i: F.get("idf", i) * F.get("idf", i) * F.size(F.filter("run", lambda y: y == t))))
+    scored = runs.select("path", F.struct((-F.round(F.col("dot") / F.sqrt(square), 9)).alias("c"), "licence").alias("b")).where(F.col("b.c") <= -least)
+    return scored.groupBy("path").agg(F.min("b").alias("b"))
 
 
 def of_pieces(held: DataFrame, least: float) -> DataFrame:
