@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import names
-from ..operators import clusters, crosswalk, dossier, linkage, metrics, resolve
+from ..operators import clusters, crosswalk, dense, dossier, linkage, metrics, resolve
 from ..operators.graph import connected_components
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -183,12 +183,7 @@ def components_of_supply(spark: SparkSession, d: str) -> DataFrame:
 SELECT a.vec_id AS a, b.vec_id AS b, round(1 - list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) / (a.norm * b.norm), 6) AS distance FROM n a JOIN n b ON a.label = b.label AND a.vec_id < b.vec_id
 WHERE round(1 - list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) / (a.norm * b.norm), 6) <= 0.75""")
 def cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
-    e = F.transform("embedding", lambda x: x.cast("double"))
-    v = table(spark, d, "embeddings").select("vec_id", "label", e.alias("e")).withColumn("norm", F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, x: s + x * x)))
-    a, b = v.alias("a"), v.alias("b")
-    dot = F.aggregate(F.zip_with("a.e", "b.e", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    pairs = a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.vec_id") < F.col("b.vec_id")))
-    return pairs.select(F.col("a.vec_id").alias("a"), F.col("b.vec_id").alias("b"), F.round(1 - dot / (F.col("a.norm") * F.col("b.norm")), 6).alias("distance")).where("distance <= 0.75")
+    return dense.pairs(table(spark, d, "embeddings"), 0.75)
 
 
 @query()
