@@ -39,8 +39,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", cut: Call
     if `rounds` don't settle the components, that is an error, never an unfinished result.
     """
     start = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
+    start = cut(start.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())  # loops too, so that the edges are made once
     loops = start.select(F.col("u").alias("node")).union(start.select("v")).distinct()
-    e = cut(start.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    e = start.where("u <> v")
     mark = _mark(e)
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -189,7 +189,7 @@ def cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def dbscan_piles(spark: SparkSession, d: str) -> DataFrame:
     """With two as the least neighbourhood, density clusters are components of close pairs; alone is -1."""
-    pile = connected_components(cosine_pairs(spark, d))
+    pile = connected_components(dense.links(table(spark, d, "embeddings"), 0.75))
     v = table(spark, d, "embeddings").select("vec_id")
     return v.join(pile, v.vec_id == pile.node, "left").select("vec_id", F.coalesce("component", F.lit(-1).cast("long")).alias("pile"))
 
