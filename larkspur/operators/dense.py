@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .graph import forest
+
 TILE, TILES = 2048, 64  # vectors of a tile; tiles of a block at most, as each vector is sent to each of them
 ROWS = 512  # rows of a tile multiplied at once
 
@@ -57,19 +59,6 @@ def _near(m: np.ndarray, first: np.ndarray, second: np.ndarray, limit: float, sa
             yield i[keep := distance < limit], j[keep], distance[keep]
 
 
-def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """For each of n nodes the smallest one that the links lead to."""
-    root = np.arange(n)
-    while len(i):
-        low, high = np.minimum(root[i], root[j]), np.maximum(root[i], root[j])
-        live = low < high
-        i, j = i[live], j[live]
-        np.minimum.at(root, high[live], low[live])
-        while (root[root] != root).any():
-            root = root[root]
-    return root
-
-
 def _tiled(vectors: DataFrame, block: str, uid: str, vector: str, one: Callable, kind: str) -> DataFrame:
     v = vectors.select(F.col(block).alias("_block"), F.col(uid).alias("_id"), F.col(vector).alias("_e")).where("_block is not null and _id is not null and size(_e) > 0")
     sizes = v.groupBy("_block").agg(F.least(F.lit(TILES), F.ceil(F.count("*") / TILE)).cast("int").alias("_n"))

@@ -7,7 +7,11 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import connected_components
+from .graph import _checkpointed, connected_components, reduced
+
+MEMBERS = 512  # of a class in one row
+CLASSES = 512  # rows of a block that each row of one part meets
+PARTS = 48  # tasks that pairs of classes are dealt over: their number says little about their bytes, by which Spark would gather them
 
 
 def candidates(left: DataFrame, right: DataFrame, rules: list[list[str]], uid: str = "uid", dedupe: bool = True) -> DataFrame:
@@ -28,6 +32,52 @@ def candidates(left: DataFrame, right: DataFrame, rules: list[list[str]], uid: s
     return out
 
 
+def packed(people: DataFrame, by: list[str], uid: str = "uid") -> DataFrame:
+    """People that are equal in all columns of `by` as one row with their sorted uids; classes of very many fall into several rows."""
+    one = people.select(uid, *by)
+    large = one.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > MEMBERS).select(*[F.col(c).alias(f"_of_{c}") for c in by], "_n")
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    dealt = one.join(F.broadcast(large), same, "left").withColumn("_chunk", F.coalesce(F.pmod(F.xxhash64(uid), F.ceil(F.col("_n") / MEMBERS)), F.lit(0)))
+    return dealt.groupBy(*by, "_chunk").agg(F.sort_array(F.collect_list(uid)).alias("_uids")).drop("_chunk")
+
+
+def meeting(left: DataFrame, right: DataFrame, rule: list[str]) -> DataFrame:
+    """Pairs (l, r structs) that agree on all columns of the rule; a block of many rows is dealt over tasks, its right side to each of them."""
+    sizes = right.dropna(subset=rule).groupBy(*rule).agg(F.count("*").alias("_n")).where(F.col("_n") > CLASSES)
+    hot = F.broadcast(sizes.select(*rule, F.ceil(F.col("_n") / CLASSES).cast("int").alias("_parts")))
+    many, key = F.coalesce("_parts", F.lit(1)), [*rule, "_part"]
+    a = left.dropna(subset=rule).join(hot, rule, "left").withColumn("_part", F.pmod(F.xxhash64(F.col("_uids")[0]), many).cast("int"))
+    b = right.dropna(subset=rule).join(hot, rule, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), many - 1)))
+    sides = [x.select(*[F.col(c).alias(f"{side}_{c}") for c in key], F.struct(*y.columns).alias(side)).repartition(PARTS, *[f"{side}_{c}" for c in key]) for side, x, y in (("l", a, left), ("r", b, right))]
+    on = [F.col(f"l_{c}") == F.col(f"r_{c}") for c in key]
+    return sides[0].join(sides[1].hint("merge"), on).select("l", "r")
+
+
+def class_candidates(left: DataFrame, right: DataFrame, rules: list[list[str]]) -> DataFrame:
+    """candidates() of rows from packed(): each class with each, itself too, and both ways, as levels may depend on the side."""
+    out = None
+    for k, rule in enumerate(rules):
+        pairs = meeting(left, right, rule)
+        for earlier in rules[:k]:
+            same = F.lit(True)
+            for c in earlier:
+                same &= F.coalesce(F.col(f"l.{c}") == F.col(f"r.{c}"), F.lit(False))
+            pairs = pairs.where(~same)
+        out = pairs if out is None else out.unionByName(pairs)
+    return out
+
+
+def expanded(pairs: DataFrame, a: str = "l", b: str = "r", dedupe: bool = True) -> DataFrame:
+    """Pairs of classes with other columns beside l and r as pairs of their members, a < b if it is one set of people."""
+    rest = [c for c in pairs.columns if c not in ("l", "r")]
+    one = pairs.select(F.col("l._uids").alias("_x"), F.col("r._uids").alias("_y"), *rest)
+    one = one.where(F.col("_x")[0] < F.element_at("_y", -1)) if dedupe else one
+    met = one.select(F.explode("_x").alias(a), "_y", *rest).select(a, F.explode("_y").alias(b), *rest)
+    return met.where(F.col(a) < F.col(b)) if dedupe else met
+
+
 def level(*conditions: Column) -> Column:
     """The number of the first condition that holds, counted down; 0 if none does, -1 if a side is null (first condition)."""
     null, *rest = conditions
@@ -127,19 +177,38 @@ def score(pairs: DataFrame, levels: dict[str, Column], m: dict[str, dict[int, fl
     of the two sides' tf_<column>), so that agreeing on a common value says less.
     """
     weight: Column = F.lit(math.log2(prior / (1 - prior)))
-    for c, expr in levels.items():
+    kept, pairs = pairs.columns, pairs.withColumns({f"_level_{c}": expr for c, expr in levels.items()})  # each found once
+    for c in levels:
         by = F.lit(0.0)
         for k in u[c]:
             gain = F.lit(math.log2(m[c][k] / u[c][k]))
             if tf and c in tf and tf[c][1] == k:
                 column, _, share = tf[c]
                 gain = gain + share * F.log2(F.lit(u[c][k]) / F.greatest(F.col(f"l.tf_{column}"), F.col(f"r.tf_{column}")))
-            by = F.when(expr == k, gain).otherwise(by)
+            by = F.when(F.col(f"_level_{c}") == k, gain).otherwise(by)
         weight = weight + by
-    return pairs.withColumn("weight", weight).withColumn("probability", F.lit(1.0) / (1 + F.pow(F.lit(2.0), -F.col("weight"))))
+    return pairs.select(*kept, weight.alias("weight")).withColumn("probability", F.lit(1.0) / (1 + F.pow(F.lit(2.0), -F.col("weight"))))
 
 
 def clustered(people: DataFrame, scored: DataFrame, least: float = 0.9, uid: str = "uid") -> DataFrame:
     """uid and cluster, the smallest uid that links of at least `least` lead to."""
     links = scored.where(F.col("probability") >= least).select(F.col(f"l.{uid}").alias("a"), F.col(f"r.{uid}").alias("b"))
     return people.select(uid).join(connected_components(links), F.col(uid) == F.col("node"), "left").select(uid, F.coalesce("component", uid).alias("cluster"))
+
+
+def clustered_classes(people: DataFrame, classes: DataFrame, scored: DataFrame, least: float = 0.9, uid: str = "uid") -> DataFrame:
+    """clustered() of scored pairs of classes (of packed()), without a row for each pair of members.
+
+    A link from class x to class y links every member of x below y's last to it, and every member of y above x's first to that
+    one; so of all members only those that some link reaches join their class's first or last.
+    """
+    first, last = (lambda side: F.col(f"{side}._uids")[0]), (lambda side: F.element_at(f"{side}._uids", -1))
+    linked = scored.where(F.col("probability") >= least).where(first("l") < last("r"))
+    reach = _checkpointed(reduced(linked.select(first("l").alias("a"), last("r").alias("b"), first("r").alias("c"))))
+    most = reach.where("kind = 1").groupBy(F.col("a").alias("_first")).agg(F.max("b").alias("_to"))
+    least_of = reach.where("kind = 2").groupBy(F.col("a").alias("_first")).agg(F.min("b").alias("_to"))
+    mine = classes.select("_uids", F.col("_uids")[0].alias("_first"), F.element_at("_uids", -1).alias("_last"))
+    below = mine.join(most, "_first").select(F.explode("_uids").alias("a"), F.col("_first").alias("b"), "_to").where("a < _to")
+    above = mine.join(least_of, "_first").select(F.explode("_uids").alias("a"), F.col("_last").alias("b"), "_to").where("a > _to")
+    links = reach.where("kind = 0").select("a", "b").unionByName(below.select("a", "b")).unionByName(above.select("a", "b"))
+    return people.select(uid).join(connected_components(links), F.col(uid) == F.col("node"), "left").select(uid, F.coalesce("component", uid).alias("cluster"))
